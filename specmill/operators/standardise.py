@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -295,6 +297,10 @@ def normalise_parties(records: DataFrame, cage: DataFrame, default_cage: DataFra
 
 
 # ------------------------------------------------------------------ N6
+# ship this module's functions with the task: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def collapse_repeats(text: str, min_repeat: int = 3) -> str:
     """Collapse a word sequence that occurs ``min_repeat`` or more times in a row, longest first, until stable."""
     if not text:
@@ -365,14 +371,19 @@ def clean_bom_text(records: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ N7
-_ANY_PHRASE = "|".join(f"(?:{p})" for p, _, _ in R.PHRASE_FIXES)
+# every pattern of PHRASE_FIXES needs one of these in the (upper-cased) text
+_PHRASE_HINT = "SQ|SU|NQE|26074|PS|SM|RAFDOCS"
+
+
+def may_need_phrase_fix(c: Column) -> Column:
+    return F.coalesce(F.upper(c).rlike(_PHRASE_HINT), F.lit(False))
 
 
 def fix_phrases(c: Column) -> Column:
     out = c
     for pattern, repl, _ in R.PHRASE_FIXES:
         out = F.regexp_replace(out, pattern, repl)
-    return F.when(c.rlike(_ANY_PHRASE), out).otherwise(c)
+    return F.when(may_need_phrase_fix(c), out).otherwise(c)
 
 
 def phrase_labels(c: Column) -> Column:
@@ -419,12 +430,12 @@ def _rewrite(field: T.StructField) -> Column:
 def normalise_phrases(records: DataFrame, skip: tuple[str, ...] = ("record_id", "batch_id", "fingerprint")) -> DataFrame:
     """Ordered phrase fixes on every string of the record (``_`` columns excepted); adds ``phrase_fixes``.
 
-    Only columns that hold a hit are rewritten; one test per record decides.
+    A cheap test on every string decides which records are rewritten at all.
     """
     fields = [f for f in records.schema if not f.name.startswith("_") and f.name not in skip]
     leaves = [x for x in (_string_leaves(f) for f in fields) if x is not None]
     df = records.withColumn("_hits", F.filter(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in leaves]),
-                                              lambda s: F.coalesce(s.rlike(_ANY_PHRASE), F.lit(False))))
+                                              may_need_phrase_fix))
     df = df.withColumn("phrase_fixes", F.array_distinct(F.flatten(F.transform("_hits", phrase_labels))))
     touched = F.size("_hits") > 0
     return df.withColumns({

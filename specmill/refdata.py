@@ -110,7 +110,7 @@ TEST_METHODS = "GTAW GMAW TIG MIG WPS VT PT MT UT RT PAINTING MARKING WELDING".s
 CUSTOMER_CLUES_DEFAULT = ["SUPPLIER", "WORKS"]
 
 # --- fixed values: free text ---------------------------------------------------------
-# ordered (pattern, replacement, label)
+# ordered (pattern, replacement, label); "$100" is group 1 followed by "00"
 PHRASE_FIXES = [
     (r"(?i)\bZQSQLAND\s+NQE\b", "Z0 SQUEGLIA INDEX", "ZQSQLAND NQE→Z0 SQUEGLIA INDEX"),
     (r"(?i)\bZQSQLAND\b", "Z0 SQUEGLIA", "ZQSQLAND→Z0 SQUEGLIA"),
@@ -123,10 +123,10 @@ PHRASE_FIXES = [
     (r"(?i)\bTO[-\s]+(SM-?111)", "$1", "TO-SM-111→SM-111"),
     (r"(?i)\bTO[-\s]+(RAFDOCS)", "$1", "TO-RAFDOCS→RAFDOCS"),
     (r"\bPSS([OQD]{2,3})(\d+)\b", "PS5$1$2", "PSS_prefix→PS5 + letters_to_digits_below"),
-    (r"(PS\d{1,3})OO(\d*)", "${1}00$2", "PS_OO→PS_00"),
-    (r"(PS\d{1,3})QQ(\d*)", "${1}00$2", "PS_QQ→PS_00"),
-    (r"(PS\d{1,3})DD(\d*)", "${1}00$2", "PS_DD→PS_00"),
-    (r"(PS\d{1,3})O(\d+)", "${1}0$2", "PS_O_digit→PS_0_digit"),
+    (r"(PS\d{1,3})OO(\d*)", "$100$2", "PS_OO→PS_00"),
+    (r"(PS\d{1,3})QQ(\d*)", "$100$2", "PS_QQ→PS_00"),
+    (r"(PS\d{1,3})DD(\d*)", "$100$2", "PS_DD→PS_00"),
+    (r"(PS\d{1,3})O(\d+)", "$10$2", "PS_O_digit→PS_0_digit"),
 ]
 # ordered
 RELATION_FIXES = [(r"\b1SO(\d)", "ISO$1"), (r"\bMIR-", "M1R-"), (r"\bBBO\b", "BB0"), (r"\b1SO11833\b", "ISO11833")]

@@ -504,6 +504,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.d = spark, folder, Dialect(True)
+        # logical plans (no data) of this session, so that a table is analysed once
+        self._plans = spark.__dict__.setdefault("_specmill_plans", {})
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.folder, name)
+        if key not in self._plans:
+            self._plans[key] = make()
+        return self._plans[key]
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -514,6 +522,9 @@ class Tables:
         return df
 
     def flat(self, name: str) -> DataFrame:
+        return self._once(name, lambda: self._flat(name))
+
+    def _flat(self, name: str) -> DataFrame:
         src, stages, where = FLAT[name]
         df = self.source(src)
         if where:
@@ -521,6 +532,9 @@ class Tables:
         return self._project(df, stages)
 
     def records(self) -> DataFrame:
+        return self._once("typed records", self._records)
+
+    def _records(self) -> DataFrame:
         df = self.flat("records")
         return df.selectExpr(*[
             f"CAST(`{c}` AS {schemas.RECORD_TYPES[c]}) AS `{c}`" if not c.startswith("_cost") else f"`{c}`"
@@ -528,7 +542,7 @@ class Tables:
         ])
 
     def second_run(self) -> DataFrame:
-        return self._project(self.records(), [_second_run])
+        return self._once("records2", lambda: self._project(self.records(), [_second_run]))
 
     def part_drawings(self) -> DataFrame:
         """One row per (order, part): the projection is a function of the two keys."""
