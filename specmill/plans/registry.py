@@ -1,7 +1,7 @@
 """All registered queries and their checking SQL."""
 
-from specmill.plans import standardise_checks
+from specmill.plans import rules_checks, standardise_checks
 
-_MODULES = [standardise_checks]
+_MODULES = [standardise_checks, rules_checks]
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 CHECKS = {name: sql for m in _MODULES for name, sql in m.CHECKS.items()}
