@@ -17,7 +17,11 @@ from specmill import refdata as R
 from specmill.functions import exprs as E
 
 _S = lambda c: E.strip(F.col(c))
-_BLANK = F.lit("")
+
+
+def _blank() -> Column:
+    return F.lit("")
+
 
 
 def keyed(df: DataFrame, column: str = "part_number", name: str = "k") -> DataFrame:
@@ -36,7 +40,7 @@ def drawing_index(drawings: DataFrame) -> DataFrame:
 
 def material_phrases(description: Column) -> Column:
     """Distinct material phrases of a description in order of appearance, comma separated."""
-    found = F.regexp_extract_all(F.coalesce(description, _BLANK), F.lit(R.MATERIAL_PHRASES), 0)
+    found = F.regexp_extract_all(F.coalesce(description, _blank()), F.lit(R.MATERIAL_PHRASES), 0)
     return F.concat_ws(", ", F.array_distinct(F.transform(found, lambda m: F.upper(E.squeeze(m)))))
 
 
@@ -116,7 +120,9 @@ def without_overview(df: DataFrame, ids: DataFrame, columns: list[str]) -> DataF
 
 def filter_overview_roots(edges: DataFrame, drawings: DataFrame) -> DataFrame:
     """Drop the edges of parents that are overview images."""
-    return without_overview(edges, overview_ids(drawings), ["parent_pn", "parent_dwg"])
+    named = edges.select("batch_id", "parent_pn", "parent_dwg").distinct()
+    kept = without_overview(named, overview_ids(drawings), ["parent_pn", "parent_dwg"])
+    return edges.join(kept, ["batch_id", "parent_pn", "parent_dwg"], "left_semi").select(*edges.columns)
 
 
 def orphans(drawings: DataFrame, edges: DataFrame) -> DataFrame:
@@ -144,8 +150,8 @@ def _or(c: Column, default: str) -> Column:
 def _row(level: int, pn: Column, dwg: Column, desc: Column, qty: Column, mat: Column, parent: Column | None) -> list[Column]:
     return [
         F.col("batch_id"), F.lit(level).cast("bigint").alias("level"), pn.alias("part_number"),
-        F.coalesce(dwg, _BLANK).alias("drawing_number"), F.coalesce(desc, _BLANK).alias("description"), qty.alias("qty"),
-        F.coalesce(mat, _BLANK).alias("material"), (_BLANK if parent is None else parent).alias("parent_part_number"),
+        F.coalesce(dwg, _blank()).alias("drawing_number"), F.coalesce(desc, _blank()).alias("description"), qty.alias("qty"),
+        F.coalesce(mat, _blank()).alias("material"), (_blank() if parent is None else parent).alias("parent_part_number"),
         (pn if parent is None else parent).alias("root_part_number"),
         (pn if parent is None else F.concat_ws(" > ", parent, pn)).alias("hierarchy_path"),
     ]
@@ -162,21 +168,20 @@ def product_tree(drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: D
     ids = overview_ids(drawings)
     index = drawing_index(drawings)
     roots = without_overview(roots, ids, ["parent_pn", "parent_dwg"])
-    edges = without_overview(edges, ids, ["parent_pn", "parent_dwg"])
+    edges = edges.join(roots.select("batch_id", "parent_pn", "parent_dwg").distinct(), ["batch_id", "parent_pn", "parent_dwg"], "left_semi")
+    named = without_overview(keyed(drawings).where("k <> ''"), ids, ["part_number"])
 
     # 1 roots and their children
     level0 = keyed(roots, "parent_pn").join(index, ["batch_id", "k"], "left").select(*_row(
         0, _or(F.col("parent_pn"), "—"), F.when(F.col("parent_dwg") != "", F.col("parent_dwg")).otherwise(F.col("i_dwg")),
-        _BLANK, F.lit("1"), F.col("i_material"), None))
+        _blank(), F.lit("1"), F.col("i_material"), None))
     kids = bom_lookup(edges.withColumnRenamed("child_pn", "part_number"), drawings).select(*_row(
         1, _or(F.col("part_number"), "—"), F.col("child_dwg"), F.col("description"), _or(_S("qty"), "1"), F.col("material"),
         _or(F.col("parent_pn"), "—")))
 
     # first BOM row that names an identifier, over the assemblies of the batch in order
-    asm = without_overview(
-        drawings.where(is_assembly(F.col("assembly_role")) & (_S("part_number") != "")).select(
-            "batch_id", F.col("record_id").alias("parent_record_id"), F.col("pos").alias("asm_pos"), _S("part_number").alias("parent")),
-        ids, ["parent"])
+    asm = named.where(is_assembly(F.col("assembly_role"))).select(
+        "batch_id", F.col("record_id").alias("parent_record_id"), F.col("pos").alias("asm_pos"), _S("part_number").alias("parent"))
     items = keyed(bom.where(_S("part_number") != "").join(asm, ["batch_id", "parent_record_id"]))
     first_item = items.groupBy("batch_id", "k").agg(F.min_by(F.struct(
         "parent", _S("part_number").alias("item_pn"), _S("qty").alias("item_qty"), _S("description").alias("item_desc"), "asm_pos", "pos"),
@@ -185,8 +190,7 @@ def product_tree(drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: D
     # 2 + 3 uploaded drawings that are neither child nor root
     shown_kids = edges.select("batch_id", E.key(F.col("child_pn")).alias("k")).where("k <> ''").distinct()
     shown_roots = roots.select("batch_id", E.key(F.col("parent_pn")).alias("k")).distinct()
-    rest = without_overview(keyed(drawings).where("k <> ''"), ids, ["part_number"])
-    rest = rest.join(shown_kids, ["batch_id", "k"], "left_anti").join(shown_roots, ["batch_id", "k"], "left_anti")
+    rest = named.join(shown_kids, ["batch_id", "k"], "left_anti").join(shown_roots, ["batch_id", "k"], "left_anti")
     rest = rest.join(first_item, ["batch_id", "k"], "left").withColumn("_ord", F.struct("pos", "record_id"))
     # under a known parent: only the first drawing of an identifier
     w = W.partitionBy("batch_id", "k").orderBy("_ord")
@@ -195,7 +199,7 @@ def product_tree(drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: D
     level1 = under.select(*_row(
         1, _S("part_number"), _S("drawing_number"), F.when(F.col("item_desc") != "", F.col("item_desc")), 
         F.when(F.col("item_qty") != "", F.col("item_qty")).otherwise(_or(_S("quantity"), "1")), _S("material"), F.col("parent")))
-    stand = alone.select(*_row(0, _S("part_number"), _S("drawing_number"), _BLANK, _or(_S("quantity"), "1"), _S("material"), None))
+    stand = alone.select(*_row(0, _S("part_number"), _S("drawing_number"), _blank(), _or(_S("quantity"), "1"), _S("material"), None))
     # a parent is added before its first such child unless it is a root or already stands alone
     first_child = under.withColumn("pk", E.key(F.col("parent"))).groupBy("batch_id", "pk").agg(
         F.min_by("parent", "_ord").alias("parent"), F.min("_ord").alias("_first")).withColumnRenamed("pk", "k")
@@ -203,7 +207,7 @@ def product_tree(drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: D
     added = (
         first_child.join(shown_roots, ["batch_id", "k"], "left_anti").join(first_alone, ["batch_id", "k"], "left")
         .where("_alone IS NULL OR _alone > _first").join(index, ["batch_id", "k"], "left")
-        .select(*_row(0, F.col("parent"), E.strip(F.col("i_dwg")), _BLANK, F.lit("1"), E.strip(F.col("i_material")), None))
+        .select(*_row(0, F.col("parent"), E.strip(F.col("i_dwg")), _blank(), F.lit("1"), E.strip(F.col("i_material")), None))
     )
 
     # 4 purchased parts: BOM rows nothing else shows; batches without roots have none
@@ -213,9 +217,9 @@ def product_tree(drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: D
     bought = (
         first_item.join(with_roots, "batch_id", "left_semi").join(shown, ["batch_id", "k"], "left_anti")
         .select(*_row(
-            1, F.col("item_pn"), _BLANK,
+            1, F.col("item_pn"), _blank(),
             F.when(blank, "[OCR_UNREADABLE]").otherwise(_or(F.col("item_desc"), "[PURCHASED PART / NO DRAWING]")),
-            _or(F.col("item_qty"), "—"), _BLANK, F.col("parent")))
+            _or(F.col("item_qty"), "—"), _blank(), F.col("parent")))
     )
     out = level0
     for part in (kids, level1, stand, added, bought):
@@ -256,14 +260,14 @@ def link_overview_items(balloons: DataFrame, drawings: DataFrame, bom: DataFrame
     method = F.when(F.col("m_item").isNotNull(), "item_no").when(F.col("m_pnk").isNotNull(), "part_number").otherwise("")
     df = df.withColumns({"m": m, "method": method}).withColumn("k", E.key(F.col("m")["part_number"]))
     df = df.join(drawing_index(drawings), ["batch_id", "k"], "left")
-    mpn = F.coalesce(F.col("m")["part_number"], _BLANK)
+    mpn = F.coalesce(F.col("m")["part_number"], _blank())
     found = F.col("i_title").isNotNull() | F.col("i_dwg").isNotNull()
     shown = F.when((mpn != "") & ((_S("part_number") == "") | (F.col("method") == "item_no")), mpn).otherwise(_S("part_number"))
     return df.select(
         "batch_id", "image_file", "image_pn", "item_no", shown.alias("part_number"), "description", "qty",
-        F.when(found, mpn).otherwise("").alias("linked_pn"), F.coalesce("i_dwg", _BLANK).alias("linked_dwg"),
-        F.coalesce(F.col("m")["qty"], _BLANK).alias("bom_qty"), F.coalesce("i_material", _BLANK).alias("linked_material"),
-        F.coalesce(F.col("m")["description"], _BLANK).alias("bom_description"), "method", found.alias("uploaded"))
+        F.when(found, mpn).otherwise("").alias("linked_pn"), F.coalesce("i_dwg", _blank()).alias("linked_dwg"),
+        F.coalesce(F.col("m")["qty"], _blank()).alias("bom_qty"), F.coalesce("i_material", _blank()).alias("linked_material"),
+        F.coalesce(F.col("m")["description"], _blank()).alias("bom_description"), "method", found.alias("uploaded"))
 
 
 # ------------------------------------------------------------------ V14, V15
@@ -276,7 +280,7 @@ def marking_xref(drawings: DataFrame, edges: DataFrame, steps: list[str] | None
     for c in steps or []:
         texts.append(F.transform(c, lambda s: F.struct(
             E.strip(s["step_no"]).alias("source"),
-            F.concat_ws(" ", *[F.coalesce(s[x], _BLANK) for x in ("name_en", "name_he", "details")]).alias("text"))))
+            F.concat_ws(" ", *[F.coalesce(s[x], _blank()) for x in ("name_en", "name_he", "details")]).alias("text"))))
     marks = lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(p), 1) for p in R.MARK_PN])
     df = keyed(drawings).where("k <> ''").select(
         "batch_id", "record_id", "k", F.explode(F.concat(*texts)).alias("t"))
@@ -303,7 +307,7 @@ def tree_integrity(drawings: DataFrame, bom: DataFrame, edges: DataFrame, batche
     single = state.where("n = 1").select("batch_id")
 
     main = main_assembly(drawings, bom, edges).join(single, "batch_id", "left_semi")
-    out = out.unionByName(f(single.join(main, "batch_id", "left_anti"), "TREE_BOM_SOURCE", "HIGH", _BLANK))
+    out = out.unionByName(f(single.join(main, "batch_id", "left_anti"), "TREE_BOM_SOURCE", "HIGH", _blank()))
     checked = edges.join(main.select("batch_id"), "batch_id", "left_semi")
     kids = keyed(checked, "child_pn").where("k <> ''")
     rows = keyed(bom.join(main, ["batch_id", "parent_record_id"])).where("k <> ''")

@@ -223,6 +223,12 @@ STD_CODE = (
 )
 TYPE_TOKENS = [r"(?i)\bTYPE\s*[IVX0-9]+\b", r"(?i)\bCLASS\s*[A-Z0-9]+\b", r"(?i)\bGRADE\s*[A-Z0-9-]+\b"]
 THICKNESS = r"(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)|(\d+(?:\.\d+)?)"
+# strict reading (ours): an inch is a word of its own, and a number in free text needs a unit
+INCH_WORD = r'\d\s*(?:in\b|inch|")|\bin\b|inch'
+_UNIT = r'\s*(?:mic|µ|um\b|mm|in\b|inch|")'
+THICKNESS_WITH_UNIT = (
+    r"(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)" + _UNIT + r"|(\d+(?:\.\d+)?)" + _UNIT
+)
 
 # --- fixed values: money -------------------------------------------------------------
 # USD per million tokens (input, output); tested in this order, "" is the base family

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from specmill import schemas
+from specmill.sources import store
 
 
 class Dialect:
@@ -544,15 +545,32 @@ class Tables:
     def second_run(self) -> DataFrame:
         return self._once("records2", lambda: self._project(self.records(), [_second_run]))
 
+    def written(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table several jobs of the session read: written once, read back from then on."""
+        key = (self.folder, "written " + name)
+        path, df = self._plans.get(key, (None, None))
+        if path is None or not store.exists(self.spark, path):
+            path = store.new_path(self.spark, name)
+            made = make()
+            # spread by row identity, not by batch: one large batch must not become one file
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            made.repartition(n, "batch_id", "pos").write.parquet(path)
+            df = self.spark.read.schema(made.schema).parquet(path)
+            self._plans[key] = (path, df)
+        return df
+
     def part_drawings(self) -> DataFrame:
         """One row per (order, part): the projection is a function of the two keys."""
         src = self.source("lineitem").where(UPLOADED).select("l_orderkey", "l_partkey").distinct()
         return self._project(src, [_parts])
 
     def drawings(self) -> DataFrame:
-        return self.flat("asm").unionByName(self.part_drawings()).unionByName(self.flat("overview"))
+        return self.written("drawings", lambda: self.flat("asm").unionByName(self.part_drawings()).unionByName(self.flat("overview")))
 
     def bom(self) -> DataFrame:
+        return self.written("bom", self._bom)
+
+    def _bom(self) -> DataFrame:
         lines = self.flat("bom_lines").selectExpr(
             "*", f"CAST(row_number() OVER (PARTITION BY batch_id ORDER BY {BOM_ORDER}) AS BIGINT) AS pos"
         ).select(*BOM_COLUMNS)
