@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ def require_valid(dims: dict[str, DataFrame]) -> None:
         raise ValueError("invalid dimension rows: " + "; ".join(f"{r.table}/{r.rule}: {r.key!r} -> {r.value!r}" for r in bad))
     try:
         dims["internal_spec"].select(F.regexp_like(F.lit("x"), F.col("pattern")).alias("ok")).where("ok IS NULL").count()
-    except PySparkException as e:
-        raise ValueError(f"invalid pattern in internal_spec: {e}") from e
+    except (PySparkException, Py4JJavaError) as e:
+        raise ValueError(f"invalid pattern in internal_spec: {str(e)[:500]}") from e
 
 
 def merge_dimensions(dims: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:

@@ -9,6 +9,8 @@ upper-cased within a batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,9 +46,9 @@ def material_phrases(description: Column) -> Column:
     return F.concat_ws(", ", F.array_distinct(F.transform(found, lambda m: F.upper(E.squeeze(m)))))
 
 
-def bom_lookup(rows: DataFrame, drawings: DataFrame) -> DataFrame:
+def bom_lookup(rows: DataFrame, drawings: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Rows with a part number get material, description and presence from the uploaded drawings."""
-    df = keyed(rows).join(drawing_index(drawings), ["batch_id", "k"], "left")
+    df = keyed(rows).join(drawing_index(drawings) if index is None else index, ["batch_id", "k"], "left")
     mat = E.strip(F.col("i_material"))
     return df.withColumns({
         "uploaded": F.col("i_title").isNotNull() | F.col("i_material").isNotNull() | F.col("i_dwg").isNotNull(),
@@ -157,16 +159,24 @@ def _row(level: int, pn: Column, dwg: Column, desc: Column, qty: Column, mat: Co
     ]
 
 
-def product_tree(drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: DataFrame) -> DataFrame:
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def product_tree(
+    drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: DataFrame, keep: Keep = lambda df, name: df,
+) -> DataFrame:
     """The flat two-level tree of every batch.
 
+    ``keep(df, name)`` may write the intermediate tables that several branches
+    read, so that each is computed once.
+
     ``roots`` is (batch_id, root_pos, parent_pn, parent_dwg), one row per root
     assembly; ``edges`` are their children. The tree is the union of roots and
     their children, uploaded drawings outside them (under the parent their BOM
     row names, or stand-alone), and purchased parts without a drawing.
     """
     ids = overview_ids(drawings)
-    index = drawing_index(drawings)
+    index = keep(drawing_index(drawings), "index")
     roots = without_overview(roots, ids, ["parent_pn", "parent_dwg"])
     edges = edges.join(roots.select("batch_id", "parent_pn", "parent_dwg").distinct(), ["batch_id", "parent_pn", "parent_dwg"], "left_semi")
     named = without_overview(keyed(drawings).where("k <> ''"), ids, ["part_number"])
@@ -175,7 +185,7 @@ def product_tree(drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: D
     level0 = keyed(roots, "parent_pn").join(index, ["batch_id", "k"], "left").select(*_row(
         0, _or(F.col("parent_pn"), "—"), F.when(F.col("parent_dwg") != "", F.col("parent_dwg")).otherwise(F.col("i_dwg")),
         _blank(), F.lit("1"), F.col("i_material"), None))
-    kids = bom_lookup(edges.withColumnRenamed("child_pn", "part_number"), drawings).select(*_row(
+    kids = bom_lookup(edges.withColumnRenamed("child_pn", "part_number"), drawings, index).select(*_row(
         1, _or(F.col("part_number"), "—"), F.col("child_dwg"), F.col("description"), _or(_S("qty"), "1"), F.col("material"),
         _or(F.col("parent_pn"), "—")))
 
@@ -186,12 +196,13 @@ def product_tree(drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: D
     first_item = items.groupBy("batch_id", "k").agg(F.min_by(F.struct(
         "parent", _S("part_number").alias("item_pn"), _S("qty").alias("item_qty"), _S("description").alias("item_desc"), "asm_pos", "pos"),
         F.struct("asm_pos", "parent_record_id", "pos")).alias("f")).select("batch_id", "k", "f.parent", "f.item_pn", "f.item_qty", "f.item_desc")
+    first_item = keep(first_item, "first_item")
 
     # 2 + 3 uploaded drawings that are neither child nor root
     shown_kids = edges.select("batch_id", E.key(F.col("child_pn")).alias("k")).where("k <> ''").distinct()
     shown_roots = roots.select("batch_id", E.key(F.col("parent_pn")).alias("k")).distinct()
     rest = named.join(shown_kids, ["batch_id", "k"], "left_anti").join(shown_roots, ["batch_id", "k"], "left_anti")
-    rest = rest.join(first_item, ["batch_id", "k"], "left").withColumn("_ord", F.struct("pos", "record_id"))
+    rest = keep(rest.join(first_item, ["batch_id", "k"], "left").withColumn("_ord", F.struct("pos", "record_id")), "rest")
     # under a known parent: only the first drawing of an identifier
     w = W.partitionBy("batch_id", "k").orderBy("_ord")
     under = rest.where("parent IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1")

@@ -13,7 +13,7 @@ from specmill.operators import rules as V
 from specmill.plans import pipeline, report_checks, rules_checks
 from specmill.plans.sqltext import check, key, lit, rx, stem, strip
 from specmill.sources import readers, store, writers
-from specmill.sources.adapter import Tables
+from specmill.sources.adapter import FLAT, Tables
 from specmill.streaming import jobs
 
 QUERIES = {}
@@ -45,9 +45,7 @@ def _diff_sql() -> str:
             if t.startswith("array"):
                 continue
             if f in _STRUCTS:
-                parts.append(f"SELECT a.record_id, '{c}' AS category, '{f}' AS field, 'modified' AS type, '' AS key FROM records a JOIN records2 b USING (record_id) WHERE CAST(a.{f} AS VARCHAR) <> CAST(b.{f} AS VARCHAR)" if f != "os" else "")
-            elif f in ("os_level",):
-                continue
+                parts.append(f"SELECT a.record_id, '{c}' AS category, '{f}' AS field, 'modified' AS type, '' AS key FROM records a JOIN records2 b USING (record_id) WHERE CAST(a.{f} AS VARCHAR) <> CAST(b.{f} AS VARCHAR)")
             else:
                 x, y = f"trim(a.{f})", f"trim(b.{f})"
                 parts.append(f"SELECT a.record_id, '{c}' AS category, '{f}' AS field, CASE WHEN {x} = '' THEN 'added' WHEN {y} = '' THEN 'removed' ELSE 'modified' END AS type, '' AS key FROM records a JOIN records2 b USING (record_id) WHERE {x} <> {y}")
@@ -292,7 +290,7 @@ SELECT day, mode, cost_usd, count FROM d WHERE st + INTERVAL 1 DAY <= (SELECT ma
 def x2(spark, sf):
     t = Tables(spark, sf)
     out = store.new_path(spark, "x2")
-    history = t._project(_events_stream(spark, t), __import__("specmill.sources.adapter", fromlist=["FLAT"]).FLAT["history"][1])
+    history = t.project(_events_stream(spark, t), FLAT["history"][1])
     jobs.append_to_table(jobs.daily_costs(history), out + "/table", out + "/checkpoint").awaitTermination()
     df = spark.read.parquet(out + "/table")
     return df.select(F.col("day").cast("string").alias("day"), "mode", F.col("cost_usd").cast("double").alias("cost_usd"), "count")
@@ -301,10 +299,9 @@ def x2(spark, sf):
 @query("x3_stream_batch_outcome", """SELECT batch_id, count(*) AS total, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed, CAST(coalesce(sum(cost_usd) FILTER (NOT failed), 0) AS DOUBLE) AS cost_usd FROM drawings GROUP BY 1""")
 def x3(spark, sf):
     t = Tables(spark, sf)
-    drawings = t.drawings()
-    path = t._plans[(t.folder, "written drawings")][0]
+    schema = t.drawings().schema
     out = store.new_path(spark, "x3")
-    stream = spark.readStream.schema(drawings.schema).parquet(path)
+    stream = spark.readStream.schema(schema).parquet(t.path_of("drawings"))
     jobs.upsert_to_table(jobs.batch_outcome(stream), out + "/table", out + "/checkpoint").awaitTermination()
     return jobs.latest(spark, out + "/table", ["batch_id"]).withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
@@ -313,7 +310,7 @@ def x3(spark, sf):
 @query("pipeline_record_findings")
 def pipeline_records(spark, sf):
     t = Tables(spark, sf)
-    done = pipeline.process_records(t.records(), t.flat("texts"), _dims(t), "all")
+    done = pipeline.process_records(t.records(), t.flat("texts"), _dims(t), "all", store.materialise)
     return pipeline.pipeline_findings(done).groupBy("type", "severity").agg(F.count("*").alias("count"), F.count_distinct("record_id").alias("records"))
 
 

@@ -9,6 +9,7 @@ from specmill.functions import exprs as E
 from specmill.operators import matching as M
 from specmill.operators import tree as T
 from specmill.plans.sqltext import check, distance, first_label, key, lit, lookalike, rx, stem, strip  # noqa: F401
+from specmill.sources import store
 from specmill.sources.adapter import Tables
 
 QUERIES = {}
@@ -297,7 +298,7 @@ _TREE_OUT = "batch_id, CAST(level AS BIGINT) AS level, part_number, drawing_numb
 def t1(spark, sf):
     t = Tables(spark, sf)
     e = _final_edges(t)
-    return T.product_tree(t.drawings(), t.bom(), T.roots_of(e), e)
+    return T.product_tree(t.drawings(), t.bom(), T.roots_of(e), e, store.materialise)
 
 
 # the same tree when only childless drawings are given as roots: everything else comes from BOM rows
@@ -306,7 +307,7 @@ def t1(spark, sf):
 def t1_bom(spark, sf):
     t = Tables(spark, sf)
     none = _edges(t).where("1 = 0")
-    return T.product_tree(t.drawings(), t.bom(), T.roots_of(none), none)
+    return T.product_tree(t.drawings(), t.bom(), T.roots_of(none), none, store.materialise)
 
 
 # --- J6

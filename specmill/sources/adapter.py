@@ -517,7 +517,7 @@ class Tables:
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _project(self, df: DataFrame, stages) -> DataFrame:
+    def project(self, df: DataFrame, stages) -> DataFrame:
         for stage in stages:
             df = df.selectExpr(*["*" if c == "*" else f"{e} AS `{c}`" for c, e in stage(self.d)])
         return df
@@ -530,7 +530,7 @@ class Tables:
         df = self.source(src)
         if where:
             df = df.where(where.removeprefix("WHERE "))
-        return self._project(df, stages)
+        return self.project(df, stages)
 
     def records(self) -> DataFrame:
         return self._once("typed records", self._records)
@@ -543,7 +543,7 @@ class Tables:
         ])
 
     def second_run(self) -> DataFrame:
-        return self._once("records2", lambda: self._project(self.records(), [_second_run]))
+        return self._once("records2", lambda: self.project(self.records(), [_second_run]))
 
     def written(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table several jobs of the session read: written once, read back from then on."""
@@ -559,10 +559,13 @@ class Tables:
             self._plans[key] = (path, df)
         return df
 
+    def path_of(self, name: str) -> str:
+        return self._plans[(self.folder, "written " + name)][0]
+
     def part_drawings(self) -> DataFrame:
         """One row per (order, part): the projection is a function of the two keys."""
         src = self.source("lineitem").where(UPLOADED).select("l_orderkey", "l_partkey").distinct()
-        return self._project(src, [_parts])
+        return self.project(src, [_parts])
 
     def drawings(self) -> DataFrame:
         return self.written("drawings", lambda: self.flat("asm").unionByName(self.part_drawings()).unionByName(self.flat("overview")))
@@ -574,7 +577,7 @@ class Tables:
         lines = self.flat("bom_lines").selectExpr(
             "*", f"CAST(row_number() OVER (PARTITION BY batch_id ORDER BY {BOM_ORDER}) AS BIGINT) AS pos"
         ).select(*BOM_COLUMNS)
-        subs = self._project(self.part_drawings().where("assembly_role = 'ASSEMBLY'"), [_sub_bom])
+        subs = self.project(self.part_drawings().where("assembly_role = 'ASSEMBLY'"), [_sub_bom])
         return lines.unionByName(subs)
 
 

@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-
-def _missing(spark: SparkSession, path: str) -> bool:
-    from specmill.sources import store
-
-    return not store.exists(spark, path)
+from specmill.sources import store
 
 
 def new_records(
@@ -28,7 +24,7 @@ def new_records(
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        if not _missing(spark, stored):
+        if store.exists(spark, stored):
             seen = spark.read.parquet(stored).where(F.col("epoch") != epoch)
             fresh = fresh.join(seen.select(*keys).distinct(), keys, "left_anti")
         process(fresh).write.mode("overwrite").parquet(f"{stored}/epoch={epoch}")
@@ -41,7 +37,7 @@ def new_records(
 def daily_costs(history: DataFrame, delay: str = "1 day") -> DataFrame:
     """Cost and count per day and mode over event time; a day is final once the watermark passed it."""
     return (
-        history.withWatermark("timestamp", delay)
+        history.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
         .groupBy(F.window("timestamp", "1 day").alias("w"), F.coalesce("mode", F.lit("unknown")).alias("mode"))
         .agg(F.sum("cost_usd").alias("cost_usd"), F.count("*").alias("count"))
         .select(F.to_date("w.start").alias("day"), "mode", "cost_usd", "count")
