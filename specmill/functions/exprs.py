@@ -19,9 +19,20 @@ def strip(c: Column) -> Column:
     return F.btrim(F.coalesce(c, F.lit("")), F.lit(BLANKS))
 
 
+def strip_id(c: Column) -> Column:
+    """``strip`` for plain columns: the full trim only runs where the first or last character may be a blank.
+
+    Byte order decides: blanks are at most U+0020 or at least U+007F.
+    """
+    v = F.coalesce(c, F.lit(""))
+    last = F.substr(v, F.lit(-1), F.lit(1))
+    edge = (v < "!") | (v >= "\x7f") | (last < "!") | (last >= "\x7f")
+    return F.when(edge, F.btrim(v, F.lit(BLANKS))).otherwise(v)
+
+
 def key(c: Column) -> Column:
     """Comparison form of an identifier: trimmed and upper-cased."""
-    return F.upper(strip(c))
+    return F.upper(strip_id(c))
 
 
 def is_empty_marker(c: Column) -> Column:

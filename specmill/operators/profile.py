@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from specmill import refdata as R
 from specmill import schemas
@@ -163,6 +162,17 @@ def quality_distribution(scores: DataFrame, order: list[str], latest: int = 10)
 
 
 # ------------------------------------------------------------------ A17, A18, A22
+def first_of_content(records: DataFrame, scope: list[str]) -> DataFrame:
+    """Adds ``_first``: is this the first record, by file name, of its content within the scope?
+
+    The first record is found by aggregation and joined back, so thousands of
+    copies of one file never meet in one task.
+    """
+    first = records.groupBy(*scope, "fingerprint").agg(F.min(F.struct("source_filename", "record_id")).alias("_f"))
+    joined = records.join(first, [*scope, "fingerprint"])
+    return joined.withColumn("_first", F.col("record_id") == F.col("_f.record_id")).drop("_f")
+
+
 def batch_issues(records: DataFrame, texts: DataFrame, clues: list[str] = R.CUSTOMER_CLUES_DEFAULT) -> DataFrame:
     """(batch_id, source_filename, issue, value) for fifteen kinds of issue.
 
@@ -170,8 +180,9 @@ def batch_issues(records: DataFrame, texts: DataFrame, clues: list[str] = R.CUST
     as duplicates only. Each text is reduced beside its record; issues come from
     one pass over the joined rows.
     """
-    w = W.partitionBy("batch_id", "fingerprint").orderBy("source_filename", "record_id")
-    df = records.withColumn("_n", F.row_number().over(w))
+    df = first_of_content(records, ["batch_id"])
+    again = df.where("NOT _first").select("batch_id", "source_filename", F.lit("duplicates").alias("issue"), F.lit("").alias("value"))
+    df = df.where("_first")
     src = texts.select("record_id", F.upper("text").alias("_text"))
     df = df.join(src, "record_id", "left").withColumns({
         "_compact": E.plain_text(F.col("_text")), "_pn": E.plain_text(F.col("part_number"))})
@@ -185,7 +196,7 @@ def batch_issues(records: DataFrame, texts: DataFrame, clues: list[str] = R.CUST
         lambda x: F.struct(F.lit(name).alias("issue"), F.regexp_extract(x, r"'([^']+)'", 1).alias("value")))
     marked = lambda cond, name: F.transform(F.filter("_pn_warnings", cond), lambda x: F.struct(F.lit(name).alias("issue"), F.lit("").alias("value")))
     std = lambda cond, name: F.transform(F.filter("standards", cond), lambda s: F.struct(F.lit(name).alias("issue"), s.alias("value")))
-    first = df.where("_n = 1").select("batch_id", "source_filename", F.explode(F.concat(
+    found = df.select("batch_id", "source_filename", F.explode(F.concat(
         issue(~blank("part_number") & ~F.coalesce((F.col("_pn") != "") & F.col("_compact").contains(F.col("_pn")), F.lit(False)), "pn_not_in_text", F.col("part_number")),
         issue(blank("customer"), "customer_empty_but_clue", clue),
         issue(blank("cage_code"), "cage_empty"), issue(blank("material"), "material_empty"), issue(blank("title"), "title_empty"),
@@ -197,8 +208,7 @@ def batch_issues(records: DataFrame, texts: DataFrame, clues: list[str] = R.CUST
         std(lambda s: E.key(s) == "ISO STANDARDS", "standards_is_generic"),
         std(lambda s: s.rlike(r"PS[\s\-]\s+|\s+PS[\s\-]"), "spec_prefix_issue"),
     )).alias("x")).where("x IS NOT NULL").select("batch_id", "source_filename", "x.issue", "x.value")
-    again = df.where("_n > 1").select("batch_id", "source_filename", F.lit("duplicates").alias("issue"), F.lit("").alias("value"))
-    return first.unionByName(again)
+    return found.unionByName(again)
 
 
 def issue_report(issues: DataFrame) -> DataFrame:
@@ -220,9 +230,8 @@ def suspicious_values(records: DataFrame) -> DataFrame:
 
 def batch_profile(records: DataFrame) -> DataFrame:
     """One profile row per distinct file content, with "part number appears in the file name"."""
-    w = W.partitionBy("fingerprint").orderBy("source_filename", "record_id")
     pn = F.coalesce("part_number", F.lit(""))
-    return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(
+    return first_of_content(records, []).where("_first").select(
         "batch_id", "record_id", "source_filename", "part_number", "revision", "customer", "cage_code",
         _size("bom_items").alias("bom"), _size("revisions_history").alias("revisions"), _size("standards").alias("standards"),
         _size("_pn_warnings").alias("warnings"), F.col("_cost_info.total_cost_usd").alias("cost_usd"), "assembly_role",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,16 @@ def corrections(before: DataFrame, after: DataFrame, fields: list[str], rule: st
     )
 
 
+def job_corrections(job: Callable[[DataFrame], DataFrame], records: DataFrame, fields: list[str], rule: str) -> DataFrame:
+    """The same for a job that keeps its input columns: old values travel in the row, so nothing is joined."""
+    after = job(records.withColumns({f"_old_{f}": F.col(f) for f in fields}))
+    cols = [F.struct(F.lit(f).alias("field"), F.col(f"_old_{f}").alias("old"), F.col(f).alias("new")) for f in fields]
+    return (
+        after.select("record_id", F.explode(F.filter(F.array(*cols), lambda c: ~c["old"].eqNullSafe(c["new"]))).alias("c"))
+        .select("record_id", "c.field", F.lit(rule).alias("rule"), "c.old", "c.new")
+    )
+
+
 # ------------------------------------------------------------------ N1
 def narrow_candidate(name: Column) -> Column:
     """Conservative part number in a file name: white-listed prefix first, else the longest of six or more."""
@@ -105,7 +115,7 @@ def reconcile_identifiers(records: DataFrame) -> DataFrame:
     """
     up = F.upper
     pn, dn, nar, gen = (F.col(x) for x in ("_pn", "_dn", "narrow", "generic"))
-    df = records.withColumn("_pn", E.strip(F.col("part_number"))).withColumn("_dn", E.strip(F.col("drawing_number")))
+    df = records.withColumns({"_pn": E.strip_id(F.col("part_number")), "_dn": E.strip_id(F.col("drawing_number"))})
     df = df.withColumn("_pn0", pn).withColumn("_dn0", dn).withColumn("pn_rule", F.lit(""))
 
     # 1 distance to the file-name candidates; an exact candidate ends the search

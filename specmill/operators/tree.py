@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from specmill import refdata as R
 from specmill.functions import exprs as E
 
-_S = lambda c: E.strip(F.col(c))
+_S = lambda c: E.strip_id(F.col(c))
 
 
 def _blank() -> Column:
@@ -49,11 +49,11 @@ def material_phrases(description: Column) -> Column:
 def bom_lookup(rows: DataFrame, drawings: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Rows with a part number get material, description and presence from the uploaded drawings."""
     df = keyed(rows).join(drawing_index(drawings) if index is None else index, ["batch_id", "k"], "left")
-    mat = E.strip(F.col("i_material"))
+    mat = E.strip_id(F.col("i_material"))
     return df.withColumns({
         "uploaded": F.col("i_title").isNotNull() | F.col("i_material").isNotNull() | F.col("i_dwg").isNotNull(),
         "material": F.when(mat != "", mat).otherwise(material_phrases(F.col("description"))),
-        "description": F.when(_S("description") != "", _S("description")).otherwise(E.strip(F.col("i_title"))),
+        "description": F.when(_S("description") != "", _S("description")).otherwise(E.strip_id(F.col("i_title"))),
     }).select(*rows.columns, "material", "uploaded")
 
 
@@ -63,7 +63,7 @@ def is_assembly(c: Column) -> Column:
 
 
 def is_overview(c: Column) -> Column:
-    return F.lower(E.strip(c)) == R.OVERVIEW_ROLE.lower()
+    return F.lower(E.strip_id(c)) == R.OVERVIEW_ROLE.lower()
 
 
 def derive_edges(drawings: DataFrame, bom: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def derive_edges(drawings: DataFrame, bom: DataFrame) -> DataFrame:
     out = keyed(rows).join(index, ["batch_id", "k"], "left")
     return out.select(
         "batch_id", "root_pos", "parent_record_id", "parent_pn", "parent_dwg", "pos", "item_no",
-        _S("part_number").alias("child_pn"), E.strip(F.col("child_dwg")).alias("child_dwg"), "description", "qty",
+        _S("part_number").alias("child_pn"), E.strip_id(F.col("child_dwg")).alias("child_dwg"), "description", "qty",
         F.coalesce("found", F.lit(False)).alias("found"))
 
 
@@ -96,7 +96,7 @@ def demote_nested_roots(edges: DataFrame) -> DataFrame:
 
 def overview_ids(drawings: DataFrame) -> DataFrame:
     """Lower-cased identifiers, and their stems, of the overview images of each batch."""
-    low = F.transform(F.array("part_number", "drawing_number", "source_filename"), lambda c: F.lower(E.strip(c)))
+    low = F.transform(F.array("part_number", "drawing_number", "source_filename"), lambda c: F.lower(E.strip_id(c)))
     return (
         drawings.where(is_overview(F.col("assembly_role")))
         .select("batch_id", F.explode(low).alias("v")).where("v <> ''")
@@ -106,7 +106,7 @@ def overview_ids(drawings: DataFrame) -> DataFrame:
 
 def overview_label(c: Column) -> Column:
     """Texts that name an overview image whatever the batch."""
-    v = F.lower(E.strip(c))
+    v = F.lower(E.strip_id(c))
     return v.contains("asm_temp_image") | v.contains("overview image") | v.startswith("image")
 
 
@@ -175,7 +175,7 @@ def product_tree(
     their children, uploaded drawings outside them (under the parent their BOM
     row names, or stand-alone), and purchased parts without a drawing.
     """
-    ids = overview_ids(drawings)
+    ids = keep(overview_ids(drawings), "overview_ids")
     index = keep(drawing_index(drawings), "index")
     roots = without_overview(roots, ids, ["parent_pn", "parent_dwg"])
     edges = edges.join(roots.select("batch_id", "parent_pn", "parent_dwg").distinct(), ["batch_id", "parent_pn", "parent_dwg"], "left_semi")
@@ -218,7 +218,7 @@ def product_tree(
     added = (
         first_child.join(shown_roots, ["batch_id", "k"], "left_anti").join(first_alone, ["batch_id", "k"], "left")
         .where("_alone IS NULL OR _alone > _first").join(index, ["batch_id", "k"], "left")
-        .select(*_row(0, F.col("parent"), E.strip(F.col("i_dwg")), _blank(), F.lit("1"), E.strip(F.col("i_material")), None))
+        .select(*_row(0, F.col("parent"), E.strip_id(F.col("i_dwg")), _blank(), F.lit("1"), E.strip_id(F.col("i_material")), None))
     )
 
     # 4 purchased parts: BOM rows nothing else shows; batches without roots have none

@@ -340,3 +340,9 @@ def s8(spark, sf):
         one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# --- W4
+@query("w4_latest_results", "SELECT record_id, source_filename FROM records ORDER BY record_id DESC LIMIT 10")
+def w4(spark, sf):
+    return L.newest(Tables(spark, sf).records().select("record_id", "source_filename"), 10, ["record_id"])

@@ -161,9 +161,8 @@ FROM z WHERE part_number IS DISTINCT FROM p_out
 UNION ALL
 SELECT record_id, 'drawing_number', 'reconcile_identifiers', drawing_number, d_out FROM z WHERE drawing_number IS DISTINCT FROM d_out""")
 def n2_corrections(spark, sf):
-    before = Tables(spark, sf).records()
-    after = N.reconcile_identifiers(N.identifier_candidates(before))
-    return N.corrections(before, after, ["part_number", "drawing_number"], "reconcile_identifiers")
+    job = lambda df: N.reconcile_identifiers(N.identifier_candidates(df))
+    return N.job_corrections(job, Tables(spark, sf).records(), ["part_number", "drawing_number"], "reconcile_identifiers")
 
 
 # --- N3, N4
@@ -397,3 +396,15 @@ def n14(spark, sf):
         F.col("packaging_notes.en").alias("packaging_en"), F.size("_user_edits").cast("bigint").alias("n_edits"),
         F.col("_review_status").alias("review_status"),
         F.coalesce(F.try_element_at("_user_edits", F.lit("part_number")), F.lit("")).alias("old_part_number"))
+
+
+# --- W7, W9
+@query("w7_last_revision_row", "SELECT record_id, revisions_history[len(revisions_history)].rev AS last_rev, CAST(len(revisions_history) AS BIGINT) AS n FROM records")
+def w7(spark, sf):
+    return Tables(spark, sf).records().select(
+        "record_id", F.try_element_at(F.col("revisions_history"), F.lit(-1))["rev"].alias("last_rev"), F.size("revisions_history").cast("bigint").alias("n"))
+
+
+@query("w9_labelled_material", f"WITH {MATERIAL} SELECT t.record_id, lab.labelled FROM texts t LEFT JOIN lab USING (record_id)")
+def w9(spark, sf):
+    return Tables(spark, sf).flat("texts").select("record_id", N.labelled_material(F.col("text")).alias("labelled"))

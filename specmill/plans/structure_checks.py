@@ -58,10 +58,14 @@ def j1_bom(spark, sf):
     return M.correct_bom(t.bom(), t.drawings()).select("batch_id", "parent_record_id", "pos", "item_no", "part_number", "bom_fix_distance")
 
 
+def _corrected_bom(t: Tables):
+    return t.written("corrected_bom", lambda: M.correct_bom(t.bom(), t.drawings()).drop("bom_fix_distance"))
+
+
 @query("j2_fuzzy_drawing_to_bom", f"WITH {J2} SELECT batch_id, pn, nearest, distance FROM j2")
 def j2(spark, sf):
     t = Tables(spark, sf)
-    return M.drawing_to_bom(t.drawings(), M.correct_bom(t.bom(), t.drawings()))
+    return M.drawing_to_bom(t.drawings(), _corrected_bom(t))
 
 
 @query("j2_corrected_drawings", f"""WITH {J2} SELECT d.batch_id, d.record_id, coalesce(j2.nearest, d.part_number) AS part_number,
@@ -69,7 +73,7 @@ CASE WHEN j2.nearest IS NOT NULL AND {key('d.drawing_number')} = {key('d.part_nu
 FROM drawings d LEFT JOIN j2 ON j2.batch_id = d.batch_id AND j2.pn = {key('d.part_number')}""")
 def j2_drawings(spark, sf):
     t = Tables(spark, sf)
-    return M.correct_drawings(t.drawings(), M.correct_bom(t.bom(), t.drawings())).select(
+    return M.correct_drawings(t.drawings(), _corrected_bom(t)).select(
         "batch_id", "record_id", "part_number", "drawing_number")
 
 
@@ -146,6 +150,20 @@ def j3_details(spark, sf):
     return M.catalog_details(c.select("master_id"), c).select("master_id", "desc", "full_name")
 
 
+# --- U1: codes of a coating against each master that shares one
+@query("u1_code_sets", f"""WITH fa AS (SELECT DISTINCT list_sort(list_distinct(list_transform(regexp_extract_all(c.standard, {lit(R.STD_CODE)}), lambda m: regexp_replace(regexp_replace(upper(m), '[ -]', '', 'g'), '(\\d)[A-Z]$', '\\1')))) AS a FROM (SELECT unnest(coating_processes) AS c FROM records)),
+fb AS (SELECT ordinal, list_sort(list_distinct(list_transform(regexp_extract_all("desc" || ' ' || standard, {lit(R.STD_CODE)}), lambda m: regexp_replace(regexp_replace(upper(m), '[ -]', '', 'g'), '(\\d)[A-Z]$', '\\1')))) AS b FROM catalog)
+SELECT array_to_string(a, ',') AS codes, ordinal, array_to_string(list_sort(list_intersect(a, b)), ',') AS common, array_to_string(list_filter(b, lambda z: NOT list_contains(a, z)), ',') AS extra FROM fa, fb WHERE len(list_intersect(a, b)) > 0""")
+def u1(spark, sf):
+    t = Tables(spark, sf)
+    a = M.explode_coatings(t.records()).select(M.standard_codes(F.coalesce("standard", F.lit(""))).alias("a")).distinct()
+    b = t.flat("catalog").select("ordinal", M.standard_codes(F.concat_ws(" ", "desc", "standard")).alias("b"))
+    both = a.select("a", F.explode("a").alias("code")).join(b.select("ordinal", "b", F.explode("b").alias("code")), "code")
+    both = both.where(F.col("code") == F.array_min(F.array_intersect("a", "b")))
+    return both.select(F.concat_ws(",", "a").alias("codes"), "ordinal", E.joined_sorted(F.array_intersect("a", "b"), ",").alias("common"),
+                       F.concat_ws(",", F.array_except("b", "a")).alias("extra"))
+
+
 # --- J5, J9: stored results are named after their version, mode and content
 _STORED = """SELECT 'v' || CAST(18 + p_partkey % 3 AS {s}) || '_' || CASE p_partkey % 2 WHEN 0 THEN 'assembly' ELSE 'single' END || '_' || md5('part-' || CAST(p_partkey AS {s})) AS result_name,
  'v' || CAST(18 + p_partkey % 3 AS {s}) AS version, 'base' AS model, md5('part-' || CAST(p_partkey AS {s})) AS fingerprint,
@@ -181,6 +199,21 @@ def j9_hits(spark, sf):
     return M.stored_results(m, _stored(spark, t)).select("record_id", "result_name", F.col("_cache_hit").alias("cache_hit"))
 
 
+# --- W5, W8
+@query("w5_last_drawing_per_identifier", f"""SELECT batch_id, {key('part_number')} AS k, arg_max(record_id, (pos, record_id)) AS last_record, arg_min(record_id, (pos, record_id)) AS first_record
+FROM drawings WHERE {strip('part_number')} <> '' GROUP BY 1, 2""")
+def w5(spark, sf):
+    d = T.keyed(Tables(spark, sf).drawings()).where("k <> ''")
+    order = F.struct("pos", "record_id")
+    return d.groupBy("batch_id", "k").agg(F.max_by("record_id", order).alias("last_record"), F.min_by("record_id", order).alias("first_record"))
+
+
+@query("w8_first_record_of_batch", """SELECT batch_id, arg_min(record_id, (CASE WHEN assembly_role = 'Assembly Overview Image' THEN 0 ELSE 1 END, pos, record_id)) AS first_record FROM drawings GROUP BY 1""")
+def w8(spark, sf):
+    order = F.struct(F.when(T.is_overview(F.col("assembly_role")), 0).otherwise(1), "pos", "record_id")
+    return Tables(spark, sf).drawings().groupBy("batch_id").agg(F.min_by("record_id", order).alias("first_record"))
+
+
 # --- J4, J13, J7, J8
 IDX = f"""idx AS (SELECT batch_id, {key('part_number')} AS k, arg_max(title, (pos, record_id)) AS i_title, arg_max(material, (pos, record_id)) AS i_mat,
  arg_max(drawing_number, (pos, record_id)) AS i_dwg FROM drawings WHERE {strip('part_number')} <> '' GROUP BY 1, 2)"""
