@@ -13,6 +13,11 @@ MAX_BYTES = 50 * 1024 * 1024
 IMAGE_SUFFIXES = ["png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp"]
 
 
+def _readable(corrupt: str, other: str) -> Column:
+    """True for rows that parsed. ``other`` is read as well: the JSON source refuses plans that read only the corrupt column."""
+    return F.col(corrupt).isNull() & (F.length(F.coalesce(F.col(other).cast("string"), F.lit(""))) >= 0)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Result JSON files of a folder, one object per file; unreadable and non-object files are skipped.
 
@@ -26,7 +31,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(loose).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path)
         .select("*", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("_file"))
     )
-    df = df.where((F.col("_file") != SETTINGS_FILE) & F.col("_corrupt_record").isNull())
+    df = df.where((F.col("_file") != SETTINGS_FILE) & _readable("_corrupt_record", "part_number"))
     approval = F.when(F.col("final_approval").startswith("["), F.from_json("final_approval", f"array<{schemas.STEP}>")).when(
         F.col("final_approval").startswith("{"), F.array(F.from_json("final_approval", schemas.STEP)))
     packing = F.when(
@@ -49,7 +54,8 @@ def read_ledger(spark: SparkSession, path: str, ddl: str, limit: int | None = No
     df = (
         spark.read.schema(ddl + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
         .select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_line"))
-        .where("_bad IS NULL").drop("_bad")
+    )
+    df = df.where(_readable("_bad", df.columns[0])).drop("_bad"
     )
     for column, value in equals.items():
         df = df.where(F.col(column) == value)

@@ -43,7 +43,7 @@ def test_collapse_repeats_against_slow_rule():
 
 
 def test_candidates(spark):
-    names = [("B2BDraw_AB12345A-A-PD.pdf", "AB12345A", "AB12345A-A"), ("_asm_temp_1234-567-00-RevA.pdf", "", "1234-567-00"),
+    names = [("B2BDraw_AB12345A-A-PD.pdf", "AB12345A", "AB12345A-A"), ("_asm_temp_1234-567-00.pdf", "", "1234-567-00"), ("_asm_temp_1234-567-00-RevA.pdf", "", "1234-567-00-REVA"),
              ("ABC1242544-(157529).PDF", "ABC1242544", "ABC1242544"), ("330-53-14-J8409-201_DRILL.pdf", "", "330-53-14-J8409-201"),
              ("CX145-08120.pdf", "", "CX145-08120"), ("107594360.pdf", "", "107594360"),
              ("30-168217-E-PDM-30-168217E.pdf", "", "30-168217-E"), ("notes.pdf", "", "")]
