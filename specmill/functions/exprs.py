@@ -86,6 +86,11 @@ def first_of(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(1))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where it appears in conditions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def nullif_blank(c: Column) -> Column:
     return F.when(c != "", c)
 

@@ -47,9 +47,13 @@ def narrow_candidate(name: Column) -> Column:
     found = F.flatten(F.transform(F.split(s, r"[-_()\s]+"), lambda seg: F.regexp_extract_all(seg, F.lit(R.PN_NARROW), 1)))
     banned = "|".join(R.PN_BLACKLIST)
     found = F.filter(found, lambda c: F.length(c).between(5, 15) & ~c.rlike(banned))
-    listed = E.first_of(F.filter(found, lambda c: c.rlike("^(" + "|".join(R.PN_PREFIXES) + ")")))
-    longest = F.aggregate(found, F.lit(""), lambda best, c: F.when(F.length(c) > F.length(best), c).otherwise(best))
-    return F.coalesce(listed, F.when(F.length(longest) >= 6, longest), F.lit(""))
+
+    def choose(all_: Column) -> Column:
+        listed = E.first_of(F.filter(all_, lambda c: c.rlike("^(" + "|".join(R.PN_PREFIXES) + ")")))
+        longest = F.aggregate(all_, F.lit(""), lambda best, c: F.when(F.length(c) > F.length(best), c).otherwise(best))
+        return F.coalesce(listed, E.let(longest, lambda x: F.when(F.length(x) >= 6, x)), F.lit(""))
+
+    return E.let(found, choose)
 
 
 def file_stem_without_decorations(name: Column) -> Column:
@@ -67,8 +71,7 @@ def file_stem_without_decorations(name: Column) -> Column:
 def _generic_match(s: Column) -> Column:
     hits = []
     for p in R.PN_GENERIC:
-        c = F.regexp_extract(s, p, 1)
-        hits.append(F.when(F.length(c).between(5, 30), c))
+        hits.append(E.let(F.regexp_extract(s, p, 1), lambda c: F.when(F.length(c).between(5, 30), c)))
     return F.coalesce(*hits)
 
 
@@ -477,27 +480,32 @@ def labelled_material(text: Column) -> Column:
             ~noise(u) & ~u.isin(R.MATERIAL_SKIP_LABELS) & (F.length(c) >= 4) & c.rlike(r"\p{L}") & looks_like_material(c)
         )
 
-    def at_line(c: Column, i: Column) -> Column:
-        u = F.upper(c)
-        following = E.first_of(F.filter(F.slice(lines, i + 2, F.lit(3)), candidate))
-        inline = E.strip(F.regexp_extract(c, R.MATERIAL_LINE, 1))
-        return (
-            F.when(noise(u), None)
-            .when(u.isin(R.MATERIAL_LABELS), following)
-            .when((inline != "") & ~noise(F.upper(inline)) & looks_like_material(inline), inline)
-        )
+    def search(all_: Column) -> Column:
+        def at_line(c: Column, i: Column) -> Column:
+            u = F.upper(c)
+            following = E.first_of(F.filter(F.slice(all_, i + 2, F.lit(3)), candidate))
+            inline = E.let(
+                E.strip(F.regexp_extract(c, R.MATERIAL_LINE, 1)),
+                lambda x: F.when((x != "") & ~noise(F.upper(x)) & looks_like_material(x), x),
+            )
+            return (
+                F.when(~u.rlike("MATERIAL|MATL|MAT'L"), None).when(noise(u), None)
+                .when(u.isin(R.MATERIAL_LABELS), following).otherwise(inline)
+            )
+
+        return E.first_of(F.filter(F.transform(all_, at_line), lambda x: x.isNotNull()))
 
-    found = F.filter(F.transform(lines, at_line), lambda x: x.isNotNull())
-    return F.when(text.rlike(r"(?i)MATERIAL|MATL|MAT'L"), F.substr(E.first_of(found), F.lit(1), F.lit(200)))
+    return F.when(text.rlike(r"(?i)MATERIAL|MATL|MAT'L"), F.substr(E.let(lines, search), F.lit(1), F.lit(200)))
 
 
 def direct_material(text: Column) -> Column:
     """First material phrase anywhere in the text, patterns tried in order."""
     hits = []
     for p in R.MATERIAL_DIRECT:
-        c = F.regexp_replace(E.strip(F.regexp_extract(text, p, 0)), r"\s+", " ")
-        ok = (F.length(c) > 6) & (F.length(c) < 250) & looks_like_material(c)
-        hits.append(F.when(ok, F.substr(c, F.lit(1), F.lit(200))))
+        hits.append(E.let(
+            F.regexp_replace(E.strip(F.regexp_extract(text, p, 0)), r"\s+", " "),
+            lambda c: F.when((F.length(c) > 6) & (F.length(c) < 250) & looks_like_material(c), F.substr(c, F.lit(1), F.lit(200))),
+        ))
     return F.coalesce(*hits)
 
 
