@@ -334,7 +334,7 @@ def t1(spark, sf):
     return T.product_tree(t.drawings(), t.bom(), T.roots_of(e), e, store.materialise)
 
 
-# the same tree when only childless drawings are given as roots: everything else comes from BOM rows
+# the tree without any roots: everything comes from the drawings and their BOM rows
 @query("t1_tree_from_bom", f"WITH {TREE.replace('FROM e7),', 'FROM e7 WHERE 1 = 0),', 1).replace('e7 AS (SELECT e.*', 'e7x AS (SELECT e.*', 1)}".replace(
     "rt AS (SELECT DISTINCT", "e7 AS (SELECT * FROM e7x WHERE 1 = 0), rt AS (SELECT DISTINCT", 1) + f" SELECT {_TREE_OUT} FROM tr")
 def t1_bom(spark, sf):
@@ -397,7 +397,7 @@ def v15(spark, sf):
     return T.tree_integrity(t.drawings(), t.bom(), _final_edges(t), t.drawings().select("batch_id").distinct())
 
 
-# the model's tree may lack BOM rows: here the edges without quantity are left out of the tree
+# a tree that lacks BOM rows: here the children that were not uploaded are left out of the edges
 @query("u3_missing_bom_items", f"WITH {INTEGRITY.replace('e7 AS (SELECT e.* FROM e8 e JOIN nr', 'e7 AS (SELECT e.* FROM (SELECT * FROM e8 WHERE found) e JOIN nr', 1)} SELECT batch_id, type, severity, value FROM vv")
 def u3(spark, sf):
     t = Tables(spark, sf)
