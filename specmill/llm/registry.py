@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from specmill.llm import decontaminate
+from specmill.llm import decontaminate, license_scan
 
 QUERIES = {
+    "op5_license_scan": license_scan.query,
     "op7_decontaminate": decontaminate.query,
 }
 
 CHECKS = {
+    "op5_license_scan": license_scan.SQL,
     "op7_decontaminate": decontaminate.SQL,
 }
