@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from specmill.llm import decontaminate, license_scan
+from specmill.llm import decontaminate, license_scan, secret_scan
 
 QUERIES = {
+    "op6_secret_scan": secret_scan.query,
     "op5_license_scan": license_scan.query,
     "op7_decontaminate": decontaminate.query,
 }
 
 CHECKS = {
+    "op6_secret_scan": secret_scan.SQL,
     "op5_license_scan": license_scan.SQL,
     "op7_decontaminate": decontaminate.SQL,
 }
