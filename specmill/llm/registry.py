@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from specmill.llm import decontaminate, license_scan, packing, secret_scan, url_filter
+from specmill.llm import decontaminate, license_scan, packing, secret_scan, url_filter, warc
 
 QUERIES = {
+    "op2_warc": warc.query,
     "op9_pack": packing.query,
     "op3_url_filter": url_filter.query,
     "op6_secret_scan": secret_scan.query,
