@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from specmill.llm import ann, decontaminate, license_scan, packing, secret_scan, url_filter, warc
+from specmill.llm import ann, decontaminate, license_scan, packing, secret_scan, toxicity, url_filter, warc
 
 QUERIES = {
+    "op4_toxicity": toxicity.query,
     "op8_ann": ann.query,
     "op2_warc": warc.query,
     "op9_pack": packing.query,
