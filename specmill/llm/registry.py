@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from specmill.llm import ann, decontaminate, jaccard_join, license_scan, packing, secret_scan, toxicity, url_filter, warc
+from specmill.llm import ann, decontaminate, jaccard_join, license_scan, packing, secret_scan, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op10_jaccard_join": jaccard_join.query,
     "op4_toxicity": toxicity.query,
     "op8_ann": ann.query,
