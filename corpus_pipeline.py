@@ -33,9 +33,10 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets and access identifiers are replaced by their kind; every document stays."""
     found = secret_scan.annotate(docs, out="_secrets")
-    text = secret_scan.redacted(F.col("text"), F.col("_secrets"))
-    size = {"n_chars": F.when(F.size("_secrets") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return found.withColumns({"text": text} | size).select(docs.columns)
+    found = found.withColumn("_clean", secret_scan.redacted(F.col("text"), F.col("_secrets")))
+    size = F.when(F.size("_secrets") > 0, F.char_length("_clean").cast("long"))
+    own = {"text": F.col("_clean").alias("text")} | ({"n_chars": F.coalesce(size, "n_chars").alias("n_chars")} if "n_chars" in docs.columns else {})
+    return found.select(*[own.get(c, F.col(c)) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
