@@ -56,8 +56,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tupl
     cut = np.flatnonzero(inside[:-1] & inside[1:] & border[1:-1]) + 1 if len(raw) > 1 else begin[:0]
     end = np.sort(np.concatenate([stops, cut]))
     word = shared.Spans(low).of(begin, end)
-    doc = np.searchsorted(offsets, begin, side="right") - 1
-    count = np.bincount(doc, minlength=n_docs)
+    ahead = np.searchsorted(begin, offsets)
+    count = np.diff(ahead)
+    doc = np.repeat(np.arange(n_docs), count)
     at = np.cumsum(count) - count
     weights = shared.powers(0xC2B2AE3D27D4EB4F | 1, k + 1)[1:]
     full = np.zeros(len(word), np.uint64)
@@ -72,7 +73,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tupl
     value = shared.mixed(full + size)
     take = whole | short
     value, owner = value[take], doc[take]
-    order = np.lexsort((value, owner))
+    order = np.argsort(value)
+    order = order[np.argsort(owner[order].astype(np.uint16 if n_docs < 1 << 16 else np.int64), kind="stable")]
     value, owner = value[order], owner[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
@@ -99,7 +101,7 @@ def _columns(batch: pa.RecordBatch, text: str):
 def sized(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """id, n (set size), sig per row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in shared.by_bytes(batches, 1):
             _, _, n, sig = _columns(b, "text")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(shared.signed(sig))], names=["id", "n", "sig"])
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, sig long")
@@ -108,7 +110,7 @@ def sized(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def dealt(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """Shingles by bucket, packed: names of sets, their counts, their shingles. One row per Arrow batch and bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in shared.by_bytes(batches, 0):
             values, places, n, sig = _columns(b, "text")
             _, first = np.unique(sig, return_index=True)  # equal sets of a batch once
             keep = np.zeros(len(sig), bool)
@@ -117,7 +119,7 @@ def dealt(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             use = keep[owner]
             values, owner = values[use], owner[use]
             bucket = ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((owner, bucket))
+            order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")  # owners stay ascending
             values, owner, bucket = values[order], owner[order], bucket[order]
             edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
             out = {"bucket": [], "sigs": [], "counts": [], "values": []}
@@ -145,6 +147,10 @@ def shared_shingles(rows: DataFrame) -> DataFrame:
         values = values.view("<u8").ravel() | (np.uint64(t.column("bucket")[0].as_py() & 0xFFFF) << np.uint64(48))
         names, which = np.unique(sigs, return_inverse=True)
         owner = np.repeat(which, counts)
+        order = np.argsort(values)
+        twice = values[order][1:] == values[order][:-1]
+        order = order[np.concatenate([[False], twice]) | np.concatenate([twice, [False]])] if len(order) else order
+        values, owner = values[order], owner[order]
         order = np.lexsort((owner, values))
         values, owner = values[order], owner[order]
         new = np.ones(len(values), bool)

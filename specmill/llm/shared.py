@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word: ASCII letters and digits, and everything beyond ASCII.
@@ -121,13 +123,36 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a column holds about ``limit`` bytes in each; a longer single text is a batch of its own."""
+    for b in batches:
+        sizes = np.nan_to_num(pa.compute.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(float))
+        part = np.cumsum(sizes) // limit
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            if e > s or not b.num_rows:
+                yield b.slice(s, e - s)
+
+
+_KEPT: dict[int, np.ndarray] = {}
+
+
+def kept_powers(base: int, n: int) -> np.ndarray:
+    """The first n powers; those of usual batches are computed once per worker."""
+    if n > 6 << 20:
+        return powers(base, n)
+    if len(_KEPT.get(base, ())) < n:
+        _KEPT[base] = powers(base, min(max(n, 1 << 16) * 2, 6 << 20))
+    return _KEPT[base][:n]
+
+
 class Spans:
     """Hashes of any byte spans of one buffer in constant time each, from prefix sums modulo 2**64."""
 
     def __init__(self, raw: np.ndarray):
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_TABLE[raw] * powers(_BASE, len(raw)), out=self.sums[1:])
-        self.back = powers(_INVERSE, len(raw) + 1)
+        np.cumsum(_TABLE[raw] * kept_powers(_BASE, len(raw)), out=self.sums[1:])
+        self.back = kept_powers(_INVERSE, len(raw) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         body = (self.sums[end] - self.sums[start]) * self.back[start]

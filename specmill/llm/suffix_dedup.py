@@ -235,7 +235,7 @@ def anchored(docs: DataFrame, buckets: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int64())] + [(c, pa.binary()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in shared.by_bytes(batches, 2):
             raw, offsets = shared.text_bytes(b.column(2))
             at, which, spans = anchors(raw, offsets)
             before = np.minimum(at - offsets[which], BEFORE)
@@ -300,7 +300,7 @@ def contexts(asked: DataFrame, shards: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int64())] + [(c, pa.binary()) for c in (*names, "bytes")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in shared.by_bytes(batches, 2):
             for s in range(0, whole.num_rows, 500):
                 b = whole.slice(s, 500)
                 raw, offsets = shared.text_bytes(b.column(2))
@@ -359,8 +359,8 @@ def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_t
     kinds = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, offsets = shared.text_bytes(b.column(b.schema.get_field_index("_text")))
+        for b in shared.by_bytes(batches, len(carried)):
+            raw, offsets = shared.text_bytes(b.column(len(carried)))
             out = []
             for i, covers_ in enumerate(b.column(b.schema.get_field_index("_cover")).to_pylist()):
                 body = raw[offsets[i]:offsets[i + 1]]
