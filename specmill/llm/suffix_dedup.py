@@ -31,7 +31,7 @@ from specmill.llm import shared
 WIDTH, GRAM = 100, 32
 BEFORE = WIDTH - GRAM
 #: Text bytes whose anchors share a bucket, and context bytes of one shard.
-BUCKET_BYTES, SHARD_BYTES = 24 << 20, 6 << 20
+BUCKET_BYTES, SHARD_BYTES = 12 << 20, 2 << 20
 _PLACE = np.dtype([("anchor", "<u8"), ("pos", "<i4"), ("before", "u1"), ("after", "u1")])
 
 
