@@ -8,8 +8,8 @@ are words of clean texts, first frequent and random ones, then those that the ma
 
 With landmarks L the Nyström features of x are K(x, L) K(L, L)^(-1/2), and a linear machine on them is one weight per
 subsequence: f(x) = sum over subsequences of decay * weight / norm. A word therefore costs a few table look-ups, whatever the
-number of landmarks, and the table is of fixed size. Word counts use every labelled training row; landmarks and training
-words are bounded (``LANDMARKS``, ``NEGATIVES``, ``WITNESSES``).
+number of landmarks, and the table is of fixed size. The training sample is bounded: ``LABELLED`` texts, one of each family
+of near copies, read whole; from them ``LANDMARKS``, ``NEGATIVES`` and ``WITNESSES`` words.
 
 Defined results: null and empty texts score as clean; texts of any length are read whole; repeated rows score equally; with no
 training labels of both kinds every text scores 0; an empty table gives an empty result; further columns are carried along,
@@ -30,8 +30,10 @@ from specmill.llm import shared
 
 DECAY, REACH, ORDER, SYMBOLS = 0.75, 6, 4, 40
 LANDMARKS, NEGATIVES, WITNESSES, HARD_ROUNDS = 384, 6000, 4000, 3
+#: Labelled texts that the machine learns from, at most; chosen by a hash of their id.
+LABELLED = 24_000
 #: Words a worker remembers at once; more only cost time.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _OFFSETS = [(0, *c) for c in combinations(range(1, REACH), ORDER - 1)]
 _CHUNK = re.compile(r'[^\s.,;:!?"()\[\]]+')
 _SPACED = re.compile(r"(?:(?<=\s)|^)\w(?:[ ]\w){2,}(?=\s|$|[.,;:!?])")
@@ -66,7 +68,7 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     for n, at in by_length.items():
-        step = max(1, 2_000_000 // (n + 2))
+        step = max(1, 400_000 // (n + 2))
         for s in range(0, len(at), step):
             part = at[s:s + step]
             points = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
@@ -171,10 +173,11 @@ def _train(landmarks: list[str], positive: list[str], negative: list[str]) -> Sc
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Scorer | None:
-    """Learns from all labelled rows given. Word counts are aggregated on Spark; the driver sees bounded word lists only."""
+    """Learns from ``LABELLED`` of the labelled rows. Word counts are aggregated on Spark; the driver sees bounded word lists only."""
     folder = shared.shared_folder(docs.sparkSession)
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(marks, "_id").select("_id", "_y", "_t")
+    marks = marks.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(marks), "_id").select("_id", "_y", "_t")  # LABELLED rows at most
     rows = shared.written(rows, folder, "labelled")
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                         count[w] = count.get(w, 0) + 1
                 yield pd.DataFrame({"word": list(count), "toxic": [v * y for v in count.values()], "clean": [v * (1 - y) for v in count.values()]})
 
-    rows = shared.written(rows.join(_first_of_family(rows), "_id", "left_semi").select("_y", "_t"), folder, "rows")
+    rows = shared.written(rows.join(_first_of_family(rows, folder), "_id", "left_semi").select("_y", "_t"), folder, "rows")
     totals = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return None
@@ -199,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # a witness word is far likelier in toxic texts than chance allows: at rate r all of its n texts are toxic with r^n
     rate = totals[1] / (totals[0] + totals[1])
     expected = words.count()
-    positive = [r["word"] for r in top if (rate ** (r["toxic"] - r["clean"])) * expected < 1.0] or [r["word"] for r in top[:10]]
+    positive = [r["word"] for r in top if (rate ** max(r["toxic"] - r["clean"], 0)) * expected < 1.0] or [r["word"] for r in top[:10]]
     if not positive:
         return None
     clean = words.where("clean > 0 and toxic * 3 <= clean * 2")
@@ -222,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return scorer
 
 
-def _first_of_family(rows: DataFrame, hashes: int = 6, rounds: int = 2) -> DataFrame:
+def _first_of_family(rows: DataFrame, folder: str, hashes: int = 6, rounds: int = 2) -> DataFrame:
     """One id of each family of near copies, else a text copied a hundred times would lend its weight to all its words.
 
     Texts that share one of their smallest hashes of three words take over the smallest id among them, twice.
@@ -230,7 +233,7 @@ def _first_of_family(rows: DataFrame, hashes: int = 6, rounds: int = 2) -> DataF
     w = shared.words(F.col("_t"))
     grams = shared.let(w, lambda x: F.when(F.size(x) >= 3, F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.xxhash64(F.slice(x, i + 1, 3)))).otherwise(F.array(F.xxhash64(x))))
     least = shared.let(grams, lambda g: F.array(*[F.array_min(F.transform(g, lambda x: F.xxhash64(x, F.lit(j)))) for j in range(hashes)]))
-    near = rows.select("_id", F.explode(least).alias("h"))
+    near = shared.written(rows.select("_id", F.explode(least).alias("h")), folder, "near")
     label = near.select("_id").distinct().withColumn("label", F.col("_id"))
     for _ in range(rounds):
         low = near.join(label, "_id").groupBy("h").agg(F.min("label").alias("label"))
