@@ -118,15 +118,17 @@ class Scorer:
             out[at] += (self.weight[c] @ w) / np.sqrt((w * w).sum())
         return out
 
-    def texts(self, texts) -> np.ndarray:
-        """The worst word's value of each text; the bias alone for no words."""
-        sets = [words_of(t) if t else set() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list({w for s in sets for w in s if w not in self.known})
-        self.known.update(zip(new, self.words(new).tolist(), strict=True))
-        low = min(self.bias, -1.0)
-        return np.array([max(map(self.known.__getitem__, s), default=low) for s in sets])
+    def texts(self, texts, at_once: int = 256) -> np.ndarray:
+        """The worst word's value of each text; the bias alone for no words. Few texts' words are held at a time."""
+        low, out, texts = min(self.bias, -1.0), [], list(texts)
+        for i in range(0, len(texts), at_once):
+            sets = [words_of(t) if t else set() for t in texts[i:i + at_once]]
+            if len(self.known) > REMEMBERED:
+                self.known = {}
+            new = list({w for s in sets for w in s if w not in self.known})
+            self.known.update(zip(new, self.words(new).tolist(), strict=True))
+            out += [max(map(self.known.__getitem__, s), default=low) for s in sets]
+        return np.array(out, float)
 
     def score(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (value - self.shift), -60, 60)))
