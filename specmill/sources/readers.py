@@ -106,13 +106,12 @@ def suffix(path: Column) -> Column:
 def manifest_columns(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Fingerprint, size, magic and route of (path, length, content) rows.
 
-    Content is looked at only where the size allows.
+    Every file has a fingerprint, since later joins need it; the size limit only decides ``rejected``.
     """
-    ok = F.col("length") <= max_bytes
-    magic = F.when(ok, F.substring("content", 1, 5))
+    magic = F.substring("content", 1, 5)
     df = files.select(
         "path", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("source_filename"), F.col("length").cast("bigint").alias("length"),
-        F.when(ok, F.md5("content")).alias("fingerprint"), magic.alias("magic"), suffix(F.col("path")).alias("suffix"))
+        F.md5("content").alias("fingerprint"), magic.alias("magic"), suffix(F.col("path")).alias("suffix"))
     pdf = F.col("suffix") == "pdf"
     return df.withColumns({
         "route": F.when(pdf, "pdf").when(F.col("suffix").isin(IMAGE_SUFFIXES), "image").otherwise("other"),
@@ -122,9 +121,6 @@ def manifest_columns(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """S5 over a folder of files. The size filter reaches the scan, so oversized files are listed but not read."""
+    """S5 over a folder of files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = manifest_columns(files.where(F.col("length") <= max_bytes).select("path", "length", "content"), max_bytes)
-    large = manifest_columns(
-        files.where(F.col("length") > max_bytes).select("path", "length").withColumn("content", F.lit(None).cast("binary")), max_bytes)
-    return small.unionByName(large)
+    return manifest_columns(files.select("path", "length", "content"), max_bytes)

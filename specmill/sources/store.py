@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh temporary one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``, else one below the warehouse; never a machine's own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not getattr(spark, "_specmill_folder", None):
-        spark._specmill_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return spark._specmill_folder
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/specmill-tables"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
