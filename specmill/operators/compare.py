@@ -22,19 +22,19 @@ def _change(category: str, field: str, type_: Column | str, key: Column, old: Co
 def _signature(items: Column, element: T.DataType) -> Column:
     """Map of item key to item text; a repeated key keeps its last item.
 
-    The key joins the filled key fields; an item without any is known by its first fifty characters.
+    The key joins the filled key fields; an item without any is known by its whole text.
     """
     if isinstance(element, T.StructType):
         names = [f for f in R.DIFF_KEYS if f in element.fieldNames()]
         text = lambda x: F.to_json(x)
         key = lambda x: F.coalesce(
             E.nullif_blank(F.concat_ws(" | ", *[F.when(x[n] != "", E.strip(x[n])) for n in names])),
-            F.substr(F.to_json(x), F.lit(1), F.lit(50)))
+            F.to_json(x))
     else:
         text = key = lambda x: x.cast("string")
     entries = F.array_sort(F.transform(F.coalesce(items, F.array().cast(T.ArrayType(element))), lambda x, i: F.struct(
         key(x).alias("k"), (-i).alias("order"), text(x).alias("v"))))
-    first = F.filter(entries, lambda e, i: (i == 0) | (F.get(entries, i - 1)["k"] != e["k"]))
+    first = E.let(entries, lambda es: F.filter(es, lambda e, i: (i == 0) | (F.get(es, i - 1)["k"] != e["k"])))
     return F.map_from_entries(F.transform(first, lambda e: F.struct(e["k"], e["v"])))
 
 
@@ -50,12 +50,15 @@ def _list_changes(category: str, field: str, a: Column, b: Column) -> Column:
 
 
 def diff_revisions(a: DataFrame, b: DataFrame, key: str = "record_id") -> DataFrame:
-    """(key, label_a, label_b, changes) per pair of versions; ``changes`` holds category, field, type, key, old, new."""
+    """(key, label_a, label_b, changes) per pair of versions; ``changes`` holds category, field, type, key, old, new.
+
+    A record on one side only is compared with an empty one; a struct that is missing there counts as modified.
+    """
     fields = {f.name: f.dataType for f in a.schema if f.name in b.columns}
     wanted = [(c, f) for c, fs in R.DIFF_CATEGORIES.items() for f in fs if f in fields]
     labels = ["part_number", "revision"]
     cols = list(dict.fromkeys([f for _, f in wanted] + labels))
-    j = a.select(key, F.struct(*cols).alias("a")).join(b.select(key, F.struct(*cols).alias("b")), key)
+    j = a.select(key, F.struct(*cols).alias("a")).join(b.select(key, F.struct(*cols).alias("b")), key, "full")
     sig = {}
     for _, f in wanted:
         if isinstance(fields[f], T.ArrayType):

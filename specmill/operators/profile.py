@@ -165,12 +165,14 @@ def quality_distribution(scores: DataFrame, order: list[str], latest: int = 10)
 def first_of_content(records: DataFrame, scope: list[str]) -> DataFrame:
     """Adds ``_first``: is this the first record, by file name, of its content within the scope?
 
-    The first record is found by aggregation and joined back, so thousands of
-    copies of one file never meet in one task.
+    The first record is found by map-side aggregation and joined back on its own
+    ``record_id``, so thousands of copies of one file never meet in one task. A
+    record without fingerprint is a content of its own.
     """
-    first = records.groupBy(*scope, "fingerprint").agg(F.min(F.struct("source_filename", "record_id")).alias("_f"))
-    joined = records.join(first, [*scope, "fingerprint"])
-    return joined.withColumn("_first", F.col("record_id") == F.col("_f.record_id")).drop("_f")
+    first = records.where("fingerprint IS NOT NULL").groupBy(*scope, "fingerprint").agg(
+        F.min(F.struct("source_filename", "record_id"))["record_id"].alias("record_id"))
+    joined = records.join(first.select("record_id", F.lit(True).alias("_first")), "record_id", "left")
+    return joined.withColumn("_first", F.coalesce("_first", F.col("fingerprint").isNull()))
 
 
 def batch_issues(records: DataFrame, texts: DataFrame, clues: list[str] = R.CUSTOMER_CLUES_DEFAULT) -> DataFrame:

@@ -67,12 +67,11 @@ def coating_class() -> Column:
     def one(p: Column) -> Column:
         name = F.upper(F.coalesce(p["name"], F.lit("")))
         src = F.coalesce(p["step_no"], F.lit("coating"))
-        value = F.substr(name, F.lit(1), F.lit(80))
         paint = E.contains_any(name, R.PAINT_WORDS) & ~E.contains_any(name, R.PLATING_WORDS)
         return (
-            F.when(paint, E.finding("MISCLASSIFIED_COATING", "HIGH", src, value, "belongs to painting"))
+            F.when(paint, E.finding("MISCLASSIFIED_COATING", "HIGH", src, name, "belongs to painting"))
             .when(E.contains_any(name, R.MASKING_WORDS),
-                  E.finding("MISCLASSIFIED_COATING", "MEDIUM", src, value, "belongs to additional processes"))
+                  E.finding("MISCLASSIFIED_COATING", "MEDIUM", src, name, "belongs to additional processes"))
         )
     return _typed(F.filter(F.transform("coating_processes", one), lambda x: x.isNotNull()))
 
@@ -135,8 +134,7 @@ def party_prefix() -> Column:
         (pn != "") & (cust != "") & owner.isNotNull()
         & ~F.upper(cust).contains(F.upper(owner)) & ~F.upper(owner).contains(F.upper(cust))
     )
-    value = F.concat(F.lit("PN="), F.substr(pn, F.lit(1), F.lit(20)), F.lit(", customer='"),
-                     F.substr(cust, F.lit(1), F.lit(40)), F.lit("'"))
+    value = F.concat(F.lit("PN="), pn, F.lit(", customer='"), cust, F.lit("'"))
     return E.findings_if(bad, E.finding("CUSTOMER_PREFIX_MISMATCH", "HIGH", "customer", value,
                                         F.concat(F.lit("prefix belongs to "), owner)))
 
@@ -169,11 +167,11 @@ def packing() -> Column:
     none = F.upper(t).contains("NO_PACKING_REQUIREMENT")
     src = "packaging_notes"
     return (
-        F.when(none, F.array(E.finding("NO_PACKING_REQUIREMENT_IN_DRAWING", "INFO", src, F.substr(t, F.lit(1), F.lit(80)),
+        F.when(none, F.array(E.finding("NO_PACKING_REQUIREMENT_IN_DRAWING", "INFO", src, t,
                                        "marked as having none")))
         .when(F.length(t) < 10, F.array(E.finding("MISSING_PACKING", "MEDIUM", src, F.lit("(empty)"), "no packing note")))
         .when(F.col("_packing_ratio") < 0.45, F.array(E.finding(
-            "UNUSUAL_PACKING_NOTE", "HIGH", src, F.substr(t, F.lit(1), F.lit(100)), "unlike the known notes")))
+            "UNUSUAL_PACKING_NOTE", "HIGH", src, t, "unlike the known notes")))
         .otherwise(_EMPTY())
     ).cast(E.NO_FINDINGS)
 

@@ -292,8 +292,13 @@ def canonical_names(names: DataFrame, alias: DataFrame) -> DataFrame:
 
 
 def normalise_parties(records: DataFrame, cage: DataFrame, default_cage: DataFrame, alias: DataFrame) -> DataFrame:
-    """CAGE cleaned, customer from CAGE, canonical customer name, CAGE from customer."""
-    df = records.withColumn("cage_code", clean_cage(F.col("cage_code"))).join(
+    """CAGE cleaned, customer from CAGE, canonical customer name, CAGE from customer.
+
+    The mapping is made per distinct (customer, CAGE), so blank and popular values meet the dimensions once each;
+    records take their result in a single join, whose hot keys AQE splits.
+    """
+    pairs = records.select(F.col("customer").alias("_customer"), F.col("cage_code").alias("_cage")).distinct()
+    df = pairs.withColumns({"customer": F.col("_customer"), "cage_code": clean_cage(F.col("_cage"))}).join(
         cage.select(F.col("cage").alias("cage_code"), F.col("customer").alias("_by_cage")), "cage_code", "left"
     )
     df = df.withColumn(
@@ -306,7 +311,10 @@ def normalise_parties(records: DataFrame, cage: DataFrame, default_cage: DataFra
     df = df.join(
         default_cage.select(F.col("customer"), F.col("cage").alias("_default")), "customer", "left"
     ).withColumn("cage_code", F.when(F.col("cage_code") == "", F.coalesce("_default", "cage_code")).otherwise(F.col("cage_code")))
-    return df.select(*records.columns)
+    mapped = df.select("_customer", "_cage", F.col("customer").alias("_to_customer"), F.col("cage_code").alias("_to_cage"))
+    same = records["customer"].eqNullSafe(mapped["_customer"]) & records["cage_code"].eqNullSafe(mapped["_cage"])
+    done = {"customer": F.col("_to_customer").alias("customer"), "cage_code": F.col("_to_cage").alias("cage_code")}
+    return records.join(mapped, same, "left").select(*[done.get(c, records[c]) for c in records.columns])
 
 
 # ------------------------------------------------------------------ N6
@@ -495,7 +503,7 @@ def labelled_material(text: Column) -> Column:
 
         return E.first_of(F.filter(F.transform(all_, at_line), lambda x: x.isNotNull()))
 
-    return F.when(text.rlike(r"(?i)MATERIAL|MATL|MAT'L"), F.substr(E.let(lines, search), F.lit(1), F.lit(200)))
+    return F.when(text.rlike(r"(?i)MATERIAL|MATL|MAT'L"), E.let(lines, search))
 
 
 def direct_material(text: Column) -> Column:
@@ -504,7 +512,7 @@ def direct_material(text: Column) -> Column:
     for p in R.MATERIAL_DIRECT:
         hits.append(E.let(
             F.regexp_replace(E.strip(F.regexp_extract(text, p, 0)), r"\s+", " "),
-            lambda c: F.when((F.length(c) > 6) & (F.length(c) < 250) & looks_like_material(c), F.substr(c, F.lit(1), F.lit(200))),
+            lambda c: F.when((F.length(c) > 6) & looks_like_material(c), c),
         ))
     return F.coalesce(*hits)
 

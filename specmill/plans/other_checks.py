@@ -45,10 +45,10 @@ def _diff_sql() -> str:
             if t.startswith("array"):
                 continue
             if f in _STRUCTS:
-                parts.append(f"SELECT a.record_id, '{c}' AS category, '{f}' AS field, 'modified' AS type, '' AS key FROM records a JOIN records2 b USING (record_id) WHERE CAST(a.{f} AS VARCHAR) <> CAST(b.{f} AS VARCHAR)")
+                parts.append(f"SELECT record_id, '{c}' AS category, '{f}' AS field, 'modified' AS type, '' AS key FROM records a FULL JOIN records2 b USING (record_id) WHERE coalesce(CAST(a.{f} AS VARCHAR), '') <> coalesce(CAST(b.{f} AS VARCHAR), '')")
             else:
-                x, y = f"trim(a.{f})", f"trim(b.{f})"
-                parts.append(f"SELECT a.record_id, '{c}' AS category, '{f}' AS field, CASE WHEN {x} = '' THEN 'added' WHEN {y} = '' THEN 'removed' ELSE 'modified' END AS type, '' AS key FROM records a JOIN records2 b USING (record_id) WHERE {x} <> {y}")
+                x, y = f"coalesce(trim(a.{f}), '')", f"coalesce(trim(b.{f}), '')"
+                parts.append(f"SELECT record_id, '{c}' AS category, '{f}' AS field, CASE WHEN {x} = '' THEN 'added' WHEN {y} = '' THEN 'removed' ELSE 'modified' END AS type, '' AS key FROM records a FULL JOIN records2 b USING (record_id) WHERE {x} <> {y}")
     for c, f in _list_fields():
         t = schemas.RECORD_TYPES[f]
         names = [n for n in R.DIFF_KEYS if f"{n}:" in t]
@@ -73,8 +73,8 @@ def j10(spark, sf):
 
 
 @query("j10_diff_summary", f"""WITH ch AS ({_diff_sql()}), s AS (SELECT record_id, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS cats FROM ch GROUP BY 1),
- lb AS (SELECT a.record_id, CASE WHEN trim(a.part_number) <> '' THEN trim(a.part_number) ELSE '?' END || ' Rev ' || CASE WHEN trim(a.revision) <> '' THEN trim(a.revision) ELSE '?' END AS label_a,
- CASE WHEN trim(b.part_number) <> '' THEN trim(b.part_number) ELSE '?' END || ' Rev ' || CASE WHEN trim(b.revision) <> '' THEN trim(b.revision) ELSE '?' END AS label_b FROM records a JOIN records2 b USING (record_id))
+ lb AS (SELECT record_id, CASE WHEN trim(a.part_number) <> '' THEN trim(a.part_number) ELSE '?' END || ' Rev ' || CASE WHEN trim(a.revision) <> '' THEN trim(a.revision) ELSE '?' END AS label_a,
+ CASE WHEN trim(b.part_number) <> '' THEN trim(b.part_number) ELSE '?' END || ' Rev ' || CASE WHEN trim(b.revision) <> '' THEN trim(b.revision) ELSE '?' END AS label_b FROM records a FULL JOIN records2 b USING (record_id))
 SELECT lb.record_id, label_a, label_b, coalesce(n, 0) AS total_changes, coalesce(cats, '') AS categories FROM lb LEFT JOIN s USING (record_id)""")
 def j10_summary(spark, sf):
     a, b = _runs(Tables(spark, sf))

@@ -56,7 +56,7 @@ def v2(spark, sf):
     return _run(Tables(spark, sf).records(), brand=V.paint_brands)
 
 
-_COAT = f"""SELECT record_id, 'MISCLASSIFIED_COATING' AS type, severity, source, substr(n, 1, 80) AS value FROM (
+_COAT = f"""SELECT record_id, 'MISCLASSIFIED_COATING' AS type, severity, source, n AS value FROM (
  SELECT record_id, coalesce(p.step_no, 'coating') AS source, upper(p.name) AS n,
  CASE WHEN {anyof('upper(p.name)', R.PAINT_WORDS)} AND NOT {anyof('upper(p.name)', R.PLATING_WORDS)} THEN 'HIGH'
  WHEN {anyof('upper(p.name)', R.MASKING_WORDS)} THEN 'MEDIUM' END AS severity
@@ -106,7 +106,7 @@ def v6(spark, sf):
 
 
 _OWNER = f"""SELECT record_id, 'CUSTOMER_PREFIX_MISMATCH' AS type, 'HIGH' AS severity, 'customer' AS source,
- 'PN=' || substr(pn, 1, 20) || ', customer=''' || substr(cu, 1, 40) || '''' AS value FROM (
+ 'PN=' || pn || ', customer=''' || cu || '''' AS value FROM (
  SELECT record_id, {key('part_number')} AS pn, {strip('r.customer')} AS cu, arg_max(d.customer, length(d.prefix)) AS owner
  FROM records r JOIN dim_pn_prefix d ON starts_with({key('r.part_number')}, d.prefix) GROUP BY 1, 2, 3)
  WHERE cu <> '' AND NOT contains(upper(cu), upper(owner)) AND NOT contains(upper(owner), upper(cu))"""

@@ -254,7 +254,7 @@ def _looks(x: str) -> str:
 def _material_sql() -> str:
     noise = lambda u: anyof(u, R.MATERIAL_NOISE)
     direct = "coalesce(" + ", ".join(
-        f"CASE WHEN length({c}) > 6 AND length({c}) < 250 AND {_looks(c)} THEN substr({c}, 1, 200) END"
+        f"CASE WHEN length({c}) > 6 AND {_looks(c)} THEN {c} END"
         for c in (f"regexp_replace(trim({cap('text', p, 0)}, E' \\t\\n\\r'), '\\s+', ' ', 'g')" for p in R.MATERIAL_DIRECT)
     ) + ")"
     return f"""
@@ -270,7 +270,7 @@ lw AS (SELECT *, lead(cand, 1) OVER w AS c1, lead(cand, 2) OVER w AS c2, lead(ca
    WINDOW w AS (PARTITION BY record_id ORDER BY i)),
 lf AS (SELECT record_id, i, CASE WHEN {noise('u')} THEN NULL WHEN u IN {inn(R.MATERIAL_LABELS)} THEN coalesce(c1, c2, c3)
    WHEN inl <> '' AND NOT {noise('upper(inl)')} AND {_looks('inl')} THEN inl END AS m FROM lw),
-lab AS (SELECT record_id, substr(arg_min(m, i), 1, 200) AS labelled FROM lf WHERE m IS NOT NULL GROUP BY record_id),
+lab AS (SELECT record_id, arg_min(m, i) AS labelled FROM lf WHERE m IS NOT NULL GROUP BY record_id),
 tm AS (SELECT t.record_id, coalesce(l.labelled, {direct}) AS text_material FROM texts t LEFT JOIN lab l USING (record_id))"""
 
 

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from specmill.operators import compare as C
 from specmill.operators import matching as M
+from specmill.operators import profile as P
 from specmill.operators import tree as T
 from specmill.sources import store
 
@@ -107,3 +108,20 @@ def test_diff_and_two_pass(spark, records):
     r = {x.pair_id: x for x in C.two_pass_compare(p).collect()}
     assert r["x"].merged == '{"c":"[VERIFY: RAL 7035]"}' and [f.type for f in r["x"].findings] == ["RAL_MISMATCH"]
     assert r["y"].findings == []
+
+
+def test_diff_keeps_similar_items_and_unpaired_records(spark, records):
+    start = "x" * 60
+    step = lambda *tails: [("", "", "", start + t) for t in tails]
+    a = records({"record_id": "both", "machining_processes": step("1", "2")}, {"record_id": "old", "standards": ["X"], "part_number": "P"})
+    b = records({"record_id": "both", "machining_processes": step("2", "3")}, {"record_id": "new", "material": "AL"})
+    d = C.diff_revisions(a, b)
+    got = sorted((r.record_id, r.field, r.type) for r in C.explode_changes(d).collect())
+    assert got == [("both", "machining_processes", "added"), ("both", "machining_processes", "removed"), ("new", "material", "added"), ("new", "packaging_notes", "modified"),
+                   ("old", "packaging_notes", "modified"), ("old", "part_number", "removed"), ("old", "standards", "removed")]
+    assert {r.record_id: (r.label_a, r.label_b) for r in d.collect()}["old"] == ("P Rev ?", "? Rev ?")
+
+
+def test_first_of_content_without_fingerprint(spark, records):
+    r = records(*[{"record_id": f"r{i}", "source_filename": f"{9 - i}.pdf", "fingerprint": f} for i, f in enumerate(["a", "a", None, None])])
+    assert {x.record_id: x._first for x in P.first_of_content(r, ["batch_id"]).collect()} == {"r0": False, "r1": True, "r2": True, "r3": True}

@@ -108,3 +108,12 @@ def test_both_directions(spark):
 def test_shared_sequence(spark):
     df = spark.createDataFrame([("THR1510712", "TH15012", False), ("AB-1234", "X1234", True), ("AB", "AB", False)], "a string, b string, want boolean")
     assert all(r.got == r.want for r in df.withColumn("got", E.share_sequence(F.col("a"), F.col("b"))).collect())
+
+
+def test_digits_only_identifiers_share_no_key(spark):
+    ids = spark.createDataFrame([("b", f"{i:06d}7") for i in range(3000)], "batch_id string, pn string")
+    from pyspark.sql import functions as F
+    from specmill.functions import distance as D
+    for keys in (D.left_keys, D.right_keys):
+        most = ids.select(F.explode(keys(F.col("pn"))).alias("e")).groupBy("e.k").count().agg(F.max("count")).first()[0]
+        assert most <= 300

@@ -122,3 +122,9 @@ def test_corrections(spark, records):
     after = N.reconcile_identifiers(N.identifier_candidates(before))
     c = N.corrections(before, after, ["part_number", "drawing_number"], "n2").collect()
     assert [(x.field, x.old, x.new) for x in c] == [("part_number", "BNB0760B", "BN80760B")]
+
+
+def test_long_material_is_kept_whole(spark):
+    long_ = "ALUMINUM ALLOY " + "6061-T6 BAR " * 30 + "END"
+    got = N.material_from_text(spark.createDataFrame([("a", f"MATERIAL: {long_}\nx")], "record_id string, text string")).first()
+    assert len(long_) > 300 and got.text_material == long_
