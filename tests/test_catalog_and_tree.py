@@ -27,11 +27,11 @@ def test_scores(spark):
 
 
 def test_candidates_equal_all_pairs(spark):
-    kinds = ["ZINC", "NICKEL", "ELECTROLESS NICKEL HIGH PHOSPHORUS", "ANODIZE BLACK", "HARD ANODIZE", "EPOXY", "CHEM FILM CLEAR RoHS"]
+    kinds = ["ZINC", "NICKEL", "ELECTROLESS NICKEL HIGH PHOSPHORUS", "ANODIZE BLACK", "HARD ANODIZE", "EPOXY", "CHEM FILM CLEAR RoHS", "BLACK RoHS", "BLACK", "RoHS", ""]
     stds = ["ASTM B633 TYPE II", "AMS-C-26074 CLASS 4", "", "MIL-A-8625 TYPE III"]
-    thick = ["5-10 mic", "", "0.5 mm", "15"]
+    thick = ["5-10 mic", "", "0.5 mm", "15", "8-200 mic", "0", "10-5"]
     coats = _coats(spark, *[(k, "", k, s, t, (i + j) % 2 == 0) for i, k in enumerate(kinds) for j, s in enumerate(stds) for t in thick])
-    cat = _catalog(spark, *[(k, s, t) for k in kinds for s in stds for t in thick])
+    cat = _catalog(spark, *[(k, s, t) for _ in range(2) for k in kinds for s in stds for t in thick])
     a = M.coating_features(coats).select(F.col("record_id"), F.struct(*M._FEATURES).alias("a"))
     b = M.catalog_features(cat).select("ordinal", F.struct(*M._FEATURES).alias("b"))
     terms = M.score_terms()
