@@ -10,7 +10,10 @@ A suffix array of a whole corpus fits no machine, so suffixes are dealt to shard
    sorted by inducing and named, the reduced string is sorted by names of ever longer runs of names, and the shard's array is
    induced from it in two linear passes, a character bucket at a time on whole arrays. Permuted common prefixes tell which
    neighbours share 100 bytes; of each such class all but the earliest start are covered.
-4. The covered spans of a document meet in its row and are cut out.
+4. An anchor of more than ``HOT`` places (found on a sample; it decides the way, never a result) would overfill a shard.
+   Its contexts are dealt by their own names instead, and the windows of what is left by theirs: equal ones still meet.
+   Each batch sends on its first place per name only, as its later places are covered already.
+5. The covered spans of a document meet in its row and are cut out.
 
 Defined results: null is an empty text; texts of under 100 bytes keep everything; repeated rows of one document are the
 same document and get equal results; rows without doc_id count as one last document; an empty table gives an empty result;
@@ -32,6 +35,10 @@ WIDTH, GRAM = 100, 32
 BEFORE = WIDTH - GRAM
 #: Text bytes whose anchors share a bucket, and context bytes of one shard.
 BUCKET_BYTES, SHARD_BYTES = 12 << 20, 2 << 20
+#: Places of an anchor whose contexts would fill a shard; share of the rows on which they are counted.
+HOT, SAMPLE = SHARD_BYTES // (BEFORE + WIDTH), 1 / 16
+#: Added to ``before`` of a place that an earlier one of its batch covers.
+_LATE = 128
 _PLACE = np.dtype([("anchor", "<u8"), ("pos", "<i4"), ("before", "u1"), ("after", "u1")])
 
 
@@ -229,8 +236,48 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(shared.row_key(doc_id, text).alias("k"), F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.col(text).alias("text"))
 
 
-def anchored(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors by bucket, packed: anchor, context name, row key, document, place, reach to either side."""
+def hot_anchors(docs: DataFrame) -> np.ndarray:
+    """Hashes, sorted, of the anchors that have more than ``HOT`` places by a sample; at most as many as places / HOT."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shared.by_bytes(batches, 0):
+            at, _, spans = anchors(*shared.text_bytes(b.column(0)))
+            anchor, n = np.unique(spans.of(at, at + GRAM), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shared.signed(anchor)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+    counted = docs.sample(SAMPLE, seed=7) if SAMPLE < 1 else docs
+    counted = counted.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") > HOT * SAMPLE).select("anchor").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def _among(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``listed``."""
+    return listed[np.minimum(np.searchsorted(listed, x), len(listed) - 1)] == x if len(listed) else np.zeros(len(x), bool)
+
+
+def _later(name: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which places have an earlier one of the same name; a repeated row of the first document is no later place."""
+    order = np.lexsort((pos, doc, name))
+    name, doc, pos = name[order], doc[order], pos[order]
+    new = np.concatenate([[True], name[1:] != name[:-1]]) if len(name) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
+    out = np.zeros(len(name), bool)
+    out[order] = (doc != doc[head]) | (pos != pos[head])
+    return out
+
+
+def _once(*columns: np.ndarray) -> np.ndarray:
+    """True for one of all equal places: repeated rows send theirs on once a batch."""
+    order = np.lexsort(columns)
+    out = np.ones(len(order), bool)
+    out[order[1:]] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+    return out
+
+
+def anchored(docs: DataFrame, buckets: int, hot) -> DataFrame:
+    """Anchors by bucket, packed: anchor, context name, row key, document, place, reach to either side.
+
+    ``hot`` (broadcast) are the anchors whose contexts are dealt by name; what is late already is dealt by row.
+    """
     names = ("anchor", "ctx", "k", "doc", "pos", "before", "after")
     schema = pa.schema([("bucket", pa.int64())] + [(c, pa.binary()) for c in names])
 
@@ -242,9 +289,19 @@ def anchored(docs: DataFrame, buckets: int) -> DataFrame:
             after = np.minimum(offsets[which + 1] - at, WIDTH)
             anchor = spans.of(at, at + GRAM)
             ctx = shared.mixed(spans.of(at - before, at + after) + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_pydict(_packed_rows(_bucket(anchor, buckets), {
-                "anchor": anchor, "ctx": ctx, "k": shared.longs(b.column(0))[which], "doc": shared.longs(b.column(1))[which],
-                "pos": (at - offsets[which]).astype(np.int32), "before": before.astype(np.uint8), "after": after.astype(np.uint8)}), schema=schema)
+            k, doc, pos = shared.longs(b.column(0))[which], shared.longs(b.column(1))[which], at - offsets[which]
+            many = np.flatnonzero(_among(anchor, hot.value))
+            use = np.ones(len(at), bool)
+            use[many] = _once(ctx[many], k[many], pos[many])
+            anchor, ctx, k, doc, pos, before, after = (x[use] for x in (anchor, ctx, k, doc, pos, before, after))
+            dealt, many = anchor.copy(), np.flatnonzero(_among(anchor, hot.value))
+            late = many[_later(ctx[many], doc[many], pos[many])]
+            dealt[many] = ctx[many]
+            dealt[late] = shared.mixed(k[late].view(np.uint64))
+            before[late] += _LATE
+            yield pa.RecordBatch.from_pydict(_packed_rows(_bucket(dealt, buckets), {
+                "anchor": anchor, "ctx": ctx, "k": k, "doc": doc,
+                "pos": pos.astype(np.int32), "before": before.astype(np.uint8), "after": after.astype(np.uint8)}), schema=schema)
     return docs.mapInArrow(run, "bucket long, anchor binary, ctx binary, k binary, doc binary, pos binary, before binary, after binary")
 
 
@@ -266,13 +323,18 @@ def _joined(t: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """k, cover, ask, asked: spans of repeated contexts, and one place per context of anchors that have several."""
+def repeated(rows: DataFrame, hot) -> DataFrame:
+    """k, cover, ask, asked: spans of repeated contexts, and one place per context of anchors that have several or are hot."""
     def run(t: pa.Table) -> pa.Table:
         anchor, ctx = _joined(t, "anchor", np.uint64), _joined(t, "ctx", np.uint64)
+        sure = np.flatnonzero(_joined(t, "before", np.uint8) >= _LATE)
+        k_sure, pos, after = (_joined(t, c, d)[sure] for c, d in (("k", np.int64), ("pos", np.int32), ("after", np.uint8)))
+        sure_spans = np.stack([pos - (_joined(t, "before", np.uint8)[sure] - _LATE), pos + after], 1)
         order = np.argsort(anchor, kind="stable")
+        order = order[_joined(t, "before", np.uint8)[order] < _LATE]
         same = anchor[order][1:] == anchor[order][:-1]
-        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # anchors that occur once are done
+        if len(order):  # anchors that occur once are done, except if their other contexts are elsewhere
+            order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | _among(anchor[order], hot.value)]
         k, doc, pos = (_joined(t, c, d)[order] for c, d in (("k", np.int64), ("doc", np.int64), ("pos", np.int32)))
         before, after = _joined(t, "before", np.uint8)[order], _joined(t, "after", np.uint8)[order]
         anchor, ctx = anchor[order], ctx[order]
@@ -286,16 +348,16 @@ def repeated(rows: DataFrame) -> DataFrame:
         spans = np.stack([pos - before.astype(np.int32), pos + after.astype(np.int32)], 1)[late]
         family = np.cumsum(new_anchor) - 1
         several = np.bincount(family[new_ctx], minlength=family[-1] + 1 if len(family) else 0)[family] > 1 if len(family) else new_ctx
-        ask = new_ctx & several
+        ask = new_ctx & (several | _among(anchor, hot.value))
         asks = np.zeros(int(ask.sum()), _PLACE)
         for c, v in (("anchor", anchor), ("pos", pos), ("before", before), ("after", after)):
             asks[c] = v[ask]
-        return _by_row(k[late], spans, k[ask], asks)
+        return _by_row(np.concatenate([k[late], k_sure]), np.concatenate([spans, sure_spans]), k[ask], asks)
     return rows.groupBy("bucket").applyInArrow(run, "k long, cover binary, ask binary, asked long")
 
 
-def contexts(asked: DataFrame, shards: int) -> DataFrame:
-    """Contexts by shard of their anchor, packed. ``asked``: k, doc, text, asks (array of binary)."""
+def contexts(asked: DataFrame, shards: int, hot) -> DataFrame:
+    """Contexts by shard of their anchor, packed, but those of hot ones. ``asked``: k, doc, text, asks (array of binary)."""
     names = ("anchor", "k", "doc", "start", "size")
     schema = pa.schema([("bucket", pa.int64())] + [(c, pa.binary()) for c in (*names, "bytes")])
 
@@ -307,6 +369,8 @@ def contexts(asked: DataFrame, shards: int) -> DataFrame:
                 asks = [np.frombuffer(b"".join(x), _PLACE) for x in b.column(3).to_pylist()]
                 which = np.repeat(np.arange(len(asks)), [len(x) for x in asks])
                 all_ = np.concatenate(asks) if asks else np.zeros(0, _PLACE)
+                cold = ~_among(all_["anchor"], hot.value)
+                which, all_ = which[cold], all_[cold]
                 start = all_["pos"].astype(np.int64) - all_["before"]
                 size = all_["before"].astype(np.int64) + all_["after"]
                 bucket = _bucket(all_["anchor"], shards)
@@ -340,17 +404,66 @@ def sorted_shards(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "k long, cover binary")
 
 
+def hot_windows(asked: DataFrame, buckets: int, hot) -> DataFrame:
+    """Windows of the contexts of hot anchors by bucket of their own name, packed; those that are late already by row.
+
+    ``start`` of what is late already is inverted.
+    """
+    names = ("name", "k", "doc", "start")
+    schema = pa.schema([("bucket", pa.int64())] + [(c, pa.binary()) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shared.by_bytes(batches, 2):
+            raw, offsets = shared.text_bytes(b.column(2))
+            spans, at, known = shared.Spans(raw), [], set()
+            for row, (key, asks) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                own = np.frombuffer(b"" if key in known else b"".join(asks), _PLACE)
+                known.add(key)
+                own = own[_among(own["anchor"], hot.value)]
+                first = own["pos"].astype(np.int64) - own["before"]
+                count = np.maximum(own["before"].astype(np.int64) + own["after"] - WIDTH + 1, 0)
+                ends = np.cumsum(count)
+                starts = np.arange(count.sum()) + np.repeat(first - (ends - count), count)
+                at.append(np.unique(starts) + offsets[row])
+            which = np.repeat(np.arange(len(at)), [len(x) for x in at])
+            at = np.concatenate([np.zeros(0, np.int64), *at])
+            name, start = spans.of(at, at + WIDTH), at - offsets[which]
+            k, doc = shared.longs(b.column(0))[which], shared.longs(b.column(1))[which]
+            late = _later(name, doc, start)
+            dealt = np.where(late, shared.mixed(k.view(np.uint64)), name)
+            yield pa.RecordBatch.from_pydict(_packed_rows(_bucket(dealt, buckets), {"name": name, "k": k, "doc": doc, "start": np.where(late, ~start, start)}), schema=schema)
+    return asked.select("k", "doc", "text", "asks").mapInArrow(run, "bucket long, name binary, k binary, doc binary, start binary")
+
+
+def met_windows(rows: DataFrame) -> DataFrame:
+    """k, cover: spans of windows of hot anchors that also start earlier."""
+    def run(t: pa.Table) -> pa.Table:
+        name, k, doc, start = _joined(t, "name", np.uint64), _joined(t, "k", np.int64), _joined(t, "doc", np.int64), _joined(t, "start", np.int64)
+        late, open_ = start < 0, np.flatnonzero(start >= 0)
+        late[open_[_later(name[open_], doc[open_], start[open_])]] = True
+        k, start = k[late], np.where(start < 0, ~start, start)[late]
+        order = np.lexsort((start, k))
+        k, start = k[order], start[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (np.diff(start) > WIDTH)]) if len(k) else np.zeros(0, bool)
+        last = np.concatenate([new[1:], [True]]) if len(k) else new
+        return _by_row(k[new], np.stack([start[new], start[last] + WIDTH], 1), np.zeros(0, np.int64), np.zeros(0, _PLACE)).select(["k", "cover"])
+    return rows.groupBy("bucket").applyInArrow(run, "k long, cover binary")
+
+
 def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte runs), and ``kept`` (bytes) on demand."""
     spark = docs.sparkSession
     folder = shared.shared_folder(spark)
     keyed = _keyed(docs, doc_id, text)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    found = shared.written(repeated(anchored(keyed, max(16, -(-total // BUCKET_BYTES)))), folder, "found")
+    hot = spark.sparkContext.broadcast(hot_anchors(keyed))
+    found = shared.written(repeated(anchored(keyed, max(16, -(-total // BUCKET_BYTES)), hot), hot), folder, "found")
     asks = found.where("asked > 0").groupBy("k").agg(F.collect_list("ask").alias("asks"))
     wanted = (found.agg(F.sum("asked")).first()[0] or 0) * (BEFORE + WIDTH)
-    more = sorted_shards(contexts(keyed.join(asks, "k"), max(16, -(-wanted // SHARD_BYTES))))
-    more = shared.written(more, folder, "sorted")
+    asked = keyed.join(asks, "k")
+    more = shared.written(sorted_shards(contexts(asked, max(16, -(-wanted // SHARD_BYTES)), hot)), folder, "sorted")
+    if len(hot.value):  # a context has up to 69 windows of 32 bytes each here, about 13 times its own size
+        more = more.union(shared.written(met_windows(hot_windows(asked, max(16, -(-wanted * 13 // BUCKET_BYTES)), hot)), folder, "windows"))
     covers = found.select("k", "cover").union(more).where(F.length("cover") > 0).groupBy("k").agg(F.collect_list("cover").alias("_cover"))
     dropped = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
     carried = [c for c in docs.columns if c not in dropped]

@@ -191,6 +191,29 @@ def test_suffix_dedup(spark):
     assert sorted((r.doc_id or 9, r.n_removed) for r in suffix_dedup.annotate(twice).collect()) == [(1, 0), (1, 0), (2, len(p)), (9, len(p))]
 
 
+@pytest.mark.parametrize("hot", [20, 5])
+def test_suffix_dedup_hot_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    p, q = prose(1, 120), prose(2, 300, 3)
+    texts = [f"{prose(100 + i, 40)} {p} {prose(300 + i, 40)}" for i in range(60)] + [p] * 40 + [None, "", q, q, f"abc {p[50:400]} xyz", "a" * 500, p[1:101], f"{p[:150]}{p[:150]}"]
+    docs = docs_of(spark, texts).repartition(5)
+    keyed = suffix_dedup._keyed(docs, "doc_id", "text")
+    many = suffix_dedup.hot_anchors(keyed)
+    assert len(many)
+    held = spark.sparkContext.broadcast(many)
+    rows = suffix_dedup.anchored(keyed, 16, held).collect()
+    buckets = {}
+    for r in rows:
+        for a in np.frombuffer(r.anchor, np.uint64)[np.isin(np.frombuffer(r.anchor, np.uint64), many)].tolist():
+            buckets.setdefault(a, []).append(r.bucket)
+    assert all(len(set(b)) > 1 for b in buckets.values())  # no hot anchor is one task
+    rows = suffix_dedup.annotate(docs).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == brute_dedup(texts)
+    twice = spark.createDataFrame([(1, p), (2, p), (None, p)] * 30, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id or 9, r.n_removed) for r in suffix_dedup.annotate(twice).collect()) == [(1, 0)] * 30 + [(2, len(p))] * 30 + [(9, len(p))] * 30
+
+
 # -- Jaccard join -------------------------------------------------------------------------------------------------------
 
 def brute_components(texts):
