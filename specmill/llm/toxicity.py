@@ -12,7 +12,7 @@ number of landmarks, and the table is of fixed size. The training sample is boun
 of near copies, read whole; from them ``LANDMARKS``, ``NEGATIVES`` and ``WITNESSES`` words.
 
 Defined results: null and empty texts score as clean; texts of any length are read whole; repeated rows score equally; with no
-training labels of both kinds every text scores 0; an empty table gives an empty result; further columns are carried along,
+training labels of both kinds, or no word at all that is likelier in toxic texts, every text scores 0; an empty table gives an empty result; further columns are carried along,
 one named like the result is replaced.
 """
 
@@ -30,6 +30,8 @@ from specmill.llm import shared
 
 DECAY, REACH, ORDER, SYMBOLS = 0.75, 6, 4, 40
 LANDMARKS, NEGATIVES, WITNESSES, HARD_ROUNDS = 384, 6000, 4000, 3
+#: Times that a witness word is likelier in a toxic text than in a clean one, at least.
+LIKELIER = 20
 #: Labelled texts that the machine learns from, at most; chosen by a hash of their id.
 LABELLED = 24_000
 #: Words a worker remembers at once; more only cost time.
@@ -200,11 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     p, q = F.col("toxic") / totals[1], F.col("clean") / totals[0]
     tie = (p - q) / F.sqrt((F.col("toxic") + F.col("clean") + 1) / (totals[0] + totals[1])) * F.sqrt(F.col("toxic") + F.col("clean"))
     words = words.withColumn("tie", tie)
-    top = words.where("toxic >= 2 and clean * 20 <= toxic").orderBy(F.desc("tie"), "word").limit(WITNESSES).collect()
-    # a witness word is far likelier in toxic texts than chance allows: at rate r all of its n texts are toxic with r^n
+    # a witness word is likelier in toxic texts by rates, whatever the share of toxic texts, and by more than chance allows
+    top = words.where("toxic >= 2").where(p >= LIKELIER * q).orderBy(F.desc("tie"), "word").limit(WITNESSES).collect()
     rate = totals[1] / (totals[0] + totals[1])
-    expected = words.count()
-    positive = [r["word"] for r in top if (rate ** max(r["toxic"] - r["clean"], 0)) * expected < 1.0] or [r["word"] for r in top[:10]]
+    allowed = np.log(words.count() + 1.0)
+    positive = [r["word"] for r in top if _surprise(r["toxic"], r["clean"], rate) > allowed]
+    if not positive:  # none is sure: the most tied ones, else nothing could be called toxic
+        positive = [r["word"] for r in words.where(p > q).orderBy(F.desc("tie"), "word").limit(10).collect()]
     if not positive:
         return None
     clean = words.where("clean > 0 and toxic * 3 <= clean * 2")
@@ -227,6 +231,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return scorer
 
 
+def _surprise(toxic: int, clean: int, rate: float) -> float:
+    """Minus the logarithm of (a bound of) the chance that so many of a word's texts are toxic at this rate."""
+    n = toxic + clean
+    return sum(x * np.log(x / n / r) for x, r in ((toxic, rate), (clean, 1 - rate)) if x)
+
+
 def _first_of_family(rows: DataFrame, folder: str, hashes: int = 6, rounds: int = 2) -> DataFrame:
     """One id of each family of near copies, else a text copied a hundred times would lend its weight to all its words.
 

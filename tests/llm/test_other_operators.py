@@ -68,6 +68,21 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs.limit(0), scorer).count() == 0
 
 
+def test_toxicity_words_of_clean_texts_too(spark):
+    r = np.random.default_rng(6)
+    syllables = ["ta", "lo", "mi", "sen", "kor", "ba", "nu", "fel", "dra", "vi"]
+    texts = []
+    for i in range(1500):  # 10 % toxic by one word, which stands in 10 of the 1350 clean texts as well
+        w = ["".join(r.choice(syllables, r.integers(1, 4))) for _ in range(30)]
+        if i % 10 == 0 or i % 150 == 1:
+            w[int(r.integers(0, 30))] = "grumblewit"
+        texts.append((i, " ".join(w), int(i % 10 == 0)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    rows = toxicity.score(docs, toxicity.fit(docs, docs.select("doc_id", "toxic"))).collect()
+    assert np.mean([x.toxicity >= 0.5 for x in rows if x.toxic]) > 0.95
+    assert np.mean([x.toxicity >= 0.5 for x in rows if not x.toxic]) < 0.03
+
+
 def brute_nearest(rows, k):
     usable = {}
     for i, v in rows:
