@@ -3,7 +3,8 @@
 On a bounded sample a neighbour graph (each vector with its nearest by inner product) is cut into balanced partitions by
 recursive bisection: a spectral order of the graph's vertices is halved and improved by swaps that cut fewer edges. A small
 softmax classifier learns vector -> partition. Every vector of the table is indexed under its most probable partition; a
-query goes to its most probable ones, as many as the sample needed for the wanted recall, and is ranked exactly there.
+query goes to its most probable ones, as many as the sample needed for the wanted recall, and is ranked exactly there. Where
+these hold too few different ids, it takes further ones in the same order until they can give every neighbour asked for.
 
 Partitions are searched in blocks (``BLOCK`` candidates against ``QUERIES`` queries), so a hot partition or a vector that
 repeats is many tasks, and each block returns its best per query only.
@@ -124,6 +125,12 @@ class Router:
     def routes(self, x: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-(x @ self.w + self.c), axis=1, kind="stable")[:, :n]
 
+    def wide_routes(self, x: np.ndarray, held: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
+        """Partitions in order, and how many of them each row takes: ``probes``, more while they hold too few ids (``held``)."""
+        order = self.routes(x, self.parts)
+        short = (np.cumsum(held[order], axis=1) < enough).sum(1)
+        return order, np.minimum(np.maximum(short + 1, self.probes), self.parts)
+
 
 def _matrix(v: pd.Series) -> np.ndarray:
     return np.array(v.tolist(), np.float64)
@@ -153,7 +160,20 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
         return run
 
     cells = rows.mapInPandas(routed(1), "id long, v array<double>, part int")
-    asked = rows.where(is_query).mapInPandas(routed(router.probes), "id long, v array<double>, part int")
+    # different ids of each partition; an id with several vectors may lie in several, so an id counts at its least partition only
+    own = cells.groupBy("id").agg(F.min("part").alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    held = np.zeros(router.parts, np.int64)
+    for r in own.collect():  # PARTITIONS rows at most
+        held[r["part"]] = r["n"]
+
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                order, n = router.wide_routes(_matrix(b["v"]), held, k + 1)
+                to = order[np.arange(router.parts) < n[:, None]]
+                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), n), "v": b["v"].repeat(n).to_numpy(), "part": to.astype(np.int32)})
+
+    asked = rows.where(is_query).mapInPandas(asking, "id long, v array<double>, part int")
     sizes = {r["part"]: r["n"] for r in cells.groupBy("part").agg(F.count("*").alias("n")).collect()}  # PARTITIONS rows at most
     loads = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}
     blocks = spark.createDataFrame([(p, max(1, -(-n // BLOCK)), max(1, -(-loads.get(p, 0) // QUERIES))) for p, n in sizes.items()], "part int, cb int, qb int")

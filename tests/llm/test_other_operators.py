@@ -124,6 +124,26 @@ def test_ann_recall_with_partitions(spark):
     assert hit / (80 * 20) >= 0.9
 
 
+def test_ann_small_partitions(spark, monkeypatch):
+    class Uneven(ann.Router):  # the partitions of all queries but one hold few rows
+        def __init__(self, sample, rows, k):
+            self.dim, self.parts, self.probes = 4, 4, 1
+            self.w, self.c = np.eye(4), np.zeros(4)
+    monkeypatch.setattr(ann, "Router", Uneven)
+    r = np.random.default_rng(7)
+    x = r.random((400, 4)) * 0.1
+    x[:, 0] += 1
+    for i, axis in ((20, 1), (21, 1), (40, 2), (60, 3)):
+        x[i, axis] += 2
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(21, x[21].tolist())] * 30, "vec_id long, embedding array<double>")
+    rows = ann.search(table, F.col("id").isin(20, 40, 60, 80)).collect()
+    for q in (20, 40, 60, 80):
+        assert sorted(o.rank for o in rows if o.query_id == q) == list(range(1, 21))
+        assert len({o.vec_id for o in rows if o.query_id == q} - {q}) == 20
+    few = ann.search(table.where("vec_id in (20, 21, 40, 60, 80)"), F.col("id") == 40).collect()
+    assert {o.vec_id for o in few} == {20, 21, 60, 80}
+
+
 def test_balanced_partitions():
     r = np.random.default_rng(4)
     x = r.standard_normal((1000, 8))
