@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specmill.llm import ann, decontaminate, jaccard_join, license_scan, packing, secret_scan, spelling, suffix_dedup, toxicity, url_filter, warc
+from specmill.llm import ann, conversation_trie, decontaminate, jaccard_join, license_scan, packing, secret_scan, spelling, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_secret_scan": secret_scan.query,
     "op5_license_scan": license_scan.query,
     "op7_decontaminate": decontaminate.query,
+    "op11_conversation_trie": conversation_trie.query,
     "op13_spelling_variants": spelling.query,
 }
 
@@ -22,5 +23,6 @@ CHECKS = {
     "op6_secret_scan": secret_scan.SQL,
     "op5_license_scan": license_scan.SQL,
     "op7_decontaminate": decontaminate.SQL,
+    "op11_conversation_trie": conversation_trie.SQL,
     "op13_spelling_variants": spelling.SQL,
 }
