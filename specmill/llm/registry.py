@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specmill.llm import ann, conversation_trie, decontaminate, jaccard_join, license_scan, packing, secret_scan, spelling, suffix_dedup, toxicity, url_filter, warc
+from specmill.llm import ann, conversation_trie, decontaminate, jaccard_join, license_scan, minhash, packing, secret_scan, spelling, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op5_license_scan": license_scan.query,
     "op7_decontaminate": decontaminate.query,
     "op11_conversation_trie": conversation_trie.query,
+    "op12_minhash_dedup": minhash.query,
     "op13_spelling_variants": spelling.query,
 }
 
