@@ -99,39 +99,39 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """id, name, shingles of the classes in ``wanted`` (id, name), each once."""
+    """id, name, shingles of the classes in ``wanted`` (id, name), each once.
+
+    Texts go where their ids go at every size: Spark's choice to send the ids to all tasks would hold for small tables only.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shared.by_bytes(batches, 1, 2 << 20):
             values, places, (name, _) = _sets(b)
             sets = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(shared.signed(values)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.signed(name)), sets], names=["id", "name", "shingles"])
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    made = rows.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, name long, shingles array<long>")
+    made = rows.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(run, "id long, name long, shingles array<long>")
     return made.join(wanted.select("id", "name"), ["id", "name"], "left_semi").groupBy("id", "name").agg(F.first("shingles").alias("shingles"))
 
 
-def meetings(classes: DataFrame, folder: str) -> DataFrame:
-    """cls (id, name, n) and hub of every band key that several classes share; the smallest class of the key is its hub.
+def meetings(classes: DataFrame) -> DataFrame:
+    """name and hub (the smallest name) of every band key that several classes share.
 
     Rows of a key are dealt to ``SALTS`` tasks, and the hub goes to those that hold some.
     """
-    cls = F.struct("id", "name", "n")
-    rows = classes.select(cls.alias("cls"), F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("cls.id", "cls.name"), F.lit(SALTS)))
-    each = rows.groupBy("key", "salt").agg(F.min("cls").alias("least"), F.count("*").alias("c"))
-    top = each.groupBy("key").agg(F.min("least").alias("hub"), F.sum("c").alias("c")).where("c > 1").select("key", "hub")
+    rows = classes.select("name", F.explode("keys").alias("key")).withColumn("salt", F.pmod("name", F.lit(SALTS)))
+    each = rows.groupBy("key", "salt").agg(F.min("name").alias("least"), F.max("name").alias("most"))
+    top = each.groupBy("key").agg(F.min("least").alias("hub"), F.max("most").alias("most")).where("hub < most").select("key", "hub")
     hubs = each.select("key", "salt").join(top, "key")
-    return rows.join(hubs, ["key", "salt"]).select("cls", "hub").distinct()
+    return rows.join(hubs, ["key", "salt"]).select("name", "hub").distinct()
 
 
 def similar(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b (ids) of the pairs (cls, hub) that are similar on full sets."""
-    x, y = F.col("cls.n"), F.col("hub.n")
-    able = met.where((F.col("cls") != F.col("hub")) & (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)))
-    left = sets.select(F.col("id").alias("_i"), F.col("name").alias("_m"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("id").alias("_j"), F.col("name").alias("_o"), F.col("shingles").alias("t"))
-    both = able.join(left, (F.col("cls.id") == F.col("_i")) & (F.col("cls.name") == F.col("_m"))).join(right, (F.col("hub.id") == F.col("_j")) & (F.col("hub.name") == F.col("_o")))
-    shares = F.size(F.array_intersect("s", "t"))
-    return both.where(100 * shares >= PERCENT * (x + y - shares)).select(F.col("cls.id").alias("a"), F.col("hub.id").alias("b"))
+    """a, b (ids) of the pairs (name, hub) that are similar on full sets."""
+    left = sets.select(F.col("name"), F.col("id").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("name").alias("hub"), F.col("id").alias("b"), F.col("shingles").alias("t"))
+    both = met.where("name <> hub").join(left, "name").join(right, "hub")
+    x, y, shares = F.size("s"), F.size("t"), F.size(F.array_intersect("s", "t"))
+    return both.where((100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) & (100 * shares >= PERCENT * (x + y - shares))).select("a", "b")
 
 
 def tiled(members: DataFrame) -> DataFrame:
@@ -203,20 +203,21 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     some = rows.where("n > 0 and id is not null")
     classes = some.groupBy("name", "proof").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = shared.written(classes, folder, "classes")
-    met = shared.written(meetings(classes, folder), folder, "met")
-    wanted = met.select("cls.id", "cls.name").union(met.select("hub.id", "hub.name")).distinct()
+    met = shared.written(meetings(classes), folder, "met")
+    names = met.select("name").union(met.select("hub")).distinct()
+    wanted = shared.written(classes.join(names, "name"), folder, "wanted")
     sets = shared.written(full_sets(docs, doc_id, text, wanted), folder, "sets")
     stars = shared.written(similar(met, sets).distinct(), folder, "stars")
     known = shared.components(stars, f"{folder}/known")
     known = known.select(F.col("node").alias("id"), F.col("component").alias("label"))
-    blocks = shared.components(met.select(F.col("cls.id").alias("a"), F.col("hub.id").alias("b")), f"{folder}/blocks")
-    blocks = blocks.select(F.col("node").alias("id"), F.col("component").alias("block")).union(blocks.select("component", "component").distinct())
-    members = blocks.join(known, "id", "left").select("id", "block", F.coalesce("label", "id").alias("label"))
+    blocks = shared.components(met.select(F.col("name").alias("a"), F.col("hub").alias("b")), f"{folder}/blocks")
+    blocks = blocks.select(F.col("node").alias("name"), F.col("component").alias("block")).union(blocks.select("component", "component").distinct())
+    members = wanted.select("id", "name").join(blocks, "name").join(known, "id", "left").select("id", "name", "block", F.coalesce("label", "id").alias("label"))
     members = shared.written(members, folder, "members")
     counts = members.groupBy("block", "label").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("block").agg(F.max_by("label", "c").alias("most"), F.count("*").alias("labels")).where("labels > 1").select("block", "most")
-    open_ = members.join(mixed, "block").select("id", "block", "label", (F.col("label") == F.col("most")).alias("main"))
-    open_ = open_.join(classes.select("id", "name", "n", "keys"), "id").join(sets, ["id", "name"])
+    open_ = members.join(mixed, "block").select("id", "name", "block", "label", (F.col("label") == F.col("most")).alias("main"))
+    open_ = open_.join(wanted.select("id", "name", "n", "keys"), ["id", "name"]).join(sets, ["id", "name"])
     tasks = tiled(shared.written(open_, folder, "open"))
     more = tasks.groupBy("block", "x", "y").applyInPandas(links_of_task, "a long, b long")
     same = some.join(classes.select("name", "proof", F.col("id").alias("b")), ["name", "proof"]).where("id <> b").select(F.col("id").alias("a"), "b")
