@@ -234,23 +234,23 @@ def j4(spark, sf):
         "batch_id", "parent_record_id", "pos", "part_number", "description", "qty", "material", "uploaded")
 
 
-EDGES = f"""{IDX}, ed AS (SELECT b.batch_id, d.pos AS root_pos, b.parent_record_id, trim(d.part_number) AS parent_pn, trim(d.drawing_number) AS parent_dwg, b.pos, b.item_no,
+EDGES = f"""{IDX}, ed AS MATERIALIZED (SELECT b.batch_id, d.pos AS root_pos, b.parent_record_id, trim(d.part_number) AS parent_pn, trim(d.drawing_number) AS parent_dwg, b.pos, b.item_no,
  trim(b.part_number) AS child_pn, coalesce(idx.i_dwg, '') AS child_dwg, b.description, b.qty, idx.k IS NOT NULL AS found
  FROM bom b JOIN drawings d ON d.batch_id = b.batch_id AND d.record_id = b.parent_record_id AND d.assembly_role = 'ASSEMBLY'
  LEFT JOIN idx ON idx.batch_id = b.batch_id AND idx.k = upper(trim(b.part_number)) WHERE trim(b.part_number) <> '')"""
-OV = f"""ovi AS (SELECT DISTINCT batch_id, v FROM (SELECT batch_id, unnest([v0, {stem('v0')}]) AS v FROM (
+OV = f"""ovi AS MATERIALIZED (SELECT DISTINCT batch_id, v FROM (SELECT batch_id, unnest([v0, {stem('v0')}]) AS v FROM (
  SELECT batch_id, unnest([lower(trim(part_number)), lower(trim(drawing_number)), lower(trim(source_filename))]) AS v0 FROM drawings WHERE assembly_role = 'Assembly Overview Image') WHERE v0 <> ''))"""
 
 
 def _is_ov(alias: str, col: str) -> str:
     x = f"lower(trim({alias}.{col}))"
-    return (f"({x} <> '' AND (contains({x}, 'asm_temp_image') OR contains({x}, 'overview image') OR starts_with({x}, 'image') OR EXISTS "
-            f"(SELECT 1 FROM ovi WHERE ovi.batch_id = {alias}.batch_id AND (ovi.v = {x} OR ovi.v = {stem(x)}))))")
+    known = " OR ".join(f"EXISTS (SELECT 1 FROM ovi WHERE ovi.batch_id = {alias}.batch_id AND ovi.v = {v})" for v in (x, stem(x)))
+    return f"({x} <> '' AND (contains({x}, 'asm_temp_image') OR contains({x}, 'overview image') OR starts_with({x}, 'image') OR {known}))"
 
 
-ROOTS = f"""{EDGES}, {OV}, e8 AS (SELECT * FROM ed e WHERE NOT {_is_ov('e', 'parent_pn')} AND NOT {_is_ov('e', 'parent_dwg')}),
+ROOTS = f"""{EDGES}, {OV}, e8 AS MATERIALIZED (SELECT * FROM ed e WHERE NOT {_is_ov('e', 'parent_pn')} AND NOT {_is_ov('e', 'parent_dwg')}),
 nr AS (SELECT batch_id, count(DISTINCT parent_record_id) AS n FROM e8 GROUP BY 1),
-e7 AS (SELECT e.* FROM e8 e JOIN nr USING (batch_id) WHERE nr.n <= 1 OR NOT EXISTS (SELECT 1 FROM e8 x WHERE x.batch_id = e.batch_id AND upper(x.child_pn) = upper(e.parent_pn)))"""
+e7 AS MATERIALIZED (SELECT e.* FROM e8 e JOIN nr USING (batch_id) WHERE nr.n <= 1 OR NOT EXISTS (SELECT 1 FROM e8 x WHERE x.batch_id = e.batch_id AND upper(x.child_pn) = upper(e.parent_pn)))"""
 _EDGE_OUT = ["batch_id", "parent_record_id", "parent_pn", "parent_dwg", "pos", "child_pn", "child_dwg", "description", "qty", "found"]
 
 
@@ -299,17 +299,17 @@ def _dash(x: str) -> str:
 
 
 TREE = f"""{ROOTS},
-rt AS (SELECT DISTINCT batch_id, root_pos, parent_pn, parent_dwg FROM e7),
-am AS (SELECT batch_id, record_id, pos AS asm_pos, trim(part_number) AS parent FROM drawings d WHERE assembly_role = 'ASSEMBLY' AND trim(part_number) <> '' AND NOT {_is_ov('d', 'part_number')}),
-it AS (SELECT b.*, am.asm_pos, am.parent, {key('b.part_number')} AS k FROM bom b JOIN am ON am.batch_id = b.batch_id AND am.record_id = b.parent_record_id WHERE trim(b.part_number) <> ''),
-fi AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY batch_id, k ORDER BY asm_pos, parent_record_id, pos) = 1),
-rs AS (SELECT d.*, {key('d.part_number')} AS k FROM drawings d WHERE trim(part_number) <> '' AND NOT {_is_ov('d', 'part_number')}
+rt AS MATERIALIZED (SELECT DISTINCT batch_id, root_pos, parent_pn, parent_dwg FROM e7),
+am AS MATERIALIZED (SELECT batch_id, record_id, pos AS asm_pos, trim(part_number) AS parent FROM drawings d WHERE assembly_role = 'ASSEMBLY' AND trim(part_number) <> '' AND NOT {_is_ov('d', 'part_number')}),
+it AS MATERIALIZED (SELECT b.*, am.asm_pos, am.parent, {key('b.part_number')} AS k FROM bom b JOIN am ON am.batch_id = b.batch_id AND am.record_id = b.parent_record_id WHERE trim(b.part_number) <> ''),
+fi AS MATERIALIZED (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY batch_id, k ORDER BY asm_pos, parent_record_id, pos) = 1),
+rs AS MATERIALIZED (SELECT d.*, {key('d.part_number')} AS k FROM drawings d WHERE trim(part_number) <> '' AND NOT {_is_ov('d', 'part_number')}
   AND NOT EXISTS (SELECT 1 FROM e7 WHERE e7.batch_id = d.batch_id AND upper(e7.child_pn) = {key('d.part_number')})
   AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.batch_id = d.batch_id AND upper(rt.parent_pn) = {key('d.part_number')})),
-rp AS (SELECT rs.*, fi.parent, fi.qty AS f_qty, fi.description AS f_desc FROM rs LEFT JOIN fi ON fi.batch_id = rs.batch_id AND fi.k = rs.k),
-un AS (SELECT * FROM rp WHERE parent IS NOT NULL QUALIFY row_number() OVER (PARTITION BY batch_id, k ORDER BY pos, record_id) = 1),
-al AS (SELECT * FROM rp WHERE parent IS NULL),
-ad AS (SELECT batch_id, parent, pos, record_id FROM un QUALIFY row_number() OVER (PARTITION BY batch_id, upper(parent) ORDER BY pos, record_id) = 1),
+rp AS MATERIALIZED (SELECT rs.*, fi.parent, fi.qty AS f_qty, fi.description AS f_desc FROM rs LEFT JOIN fi ON fi.batch_id = rs.batch_id AND fi.k = rs.k),
+un AS MATERIALIZED (SELECT * FROM rp WHERE parent IS NOT NULL QUALIFY row_number() OVER (PARTITION BY batch_id, k ORDER BY pos, record_id) = 1),
+al AS MATERIALIZED (SELECT * FROM rp WHERE parent IS NULL),
+ad AS MATERIALIZED (SELECT batch_id, parent, pos, record_id FROM un QUALIFY row_number() OVER (PARTITION BY batch_id, upper(parent) ORDER BY pos, record_id) = 1),
 tr AS (
 SELECT rt.batch_id, 0 AS level, {_dash('parent_pn')} AS part_number, CASE WHEN parent_dwg <> '' THEN parent_dwg ELSE coalesce(i_dwg, '') END AS drawing_number, '' AS description, '1' AS qty,
   coalesce(i_mat, '') AS material, '' AS parent_part_number, {_dash('parent_pn')} AS root_part_number, {_dash('parent_pn')} AS hierarchy_path FROM rt LEFT JOIN idx ON idx.batch_id = rt.batch_id AND idx.k = upper(parent_pn)
@@ -335,8 +335,8 @@ def t1(spark, sf):
 
 
 # the tree without any roots: everything comes from the drawings and their BOM rows
-@query("t1_tree_from_bom", f"WITH {TREE.replace('FROM e7),', 'FROM e7 WHERE 1 = 0),', 1).replace('e7 AS (SELECT e.*', 'e7x AS (SELECT e.*', 1)}".replace(
-    "rt AS (SELECT DISTINCT", "e7 AS (SELECT * FROM e7x WHERE 1 = 0), rt AS (SELECT DISTINCT", 1) + f" SELECT {_TREE_OUT} FROM tr")
+@query("t1_tree_from_bom", f"WITH {TREE.replace('FROM e7),', 'FROM e7 WHERE 1 = 0),', 1).replace('e7 AS MATERIALIZED (SELECT e.*', 'e7x AS MATERIALIZED (SELECT e.*', 1)}".replace(
+    "rt AS MATERIALIZED (SELECT DISTINCT", "e7 AS (SELECT * FROM e7x WHERE 1 = 0), rt AS MATERIALIZED (SELECT DISTINCT", 1) + f" SELECT {_TREE_OUT} FROM tr")
 def t1_bom(spark, sf):
     t = Tables(spark, sf)
     none = _edges(t).where("1 = 0")
@@ -345,7 +345,7 @@ def t1_bom(spark, sf):
 
 # --- J6
 @query("j6_link_overview_items", f"""WITH {ROOTS},
-rp AS (SELECT batch_id, upper(arg_min(parent_pn, (root_pos, parent_record_id))) AS root_pn FROM e7 GROUP BY 1),
+rp AS MATERIALIZED (SELECT batch_id, upper(arg_min(parent_pn, (root_pos, parent_record_id))) AS root_pn FROM e7 GROUP BY 1),
 ca AS (SELECT d.batch_id, d.record_id FROM drawings d LEFT JOIN rp USING (batch_id) WHERE d.assembly_role = 'ASSEMBLY'
   AND ({key('d.part_number')} = rp.root_pn OR EXISTS (SELECT 1 FROM bom b WHERE b.batch_id = d.batch_id AND b.parent_record_id = d.record_id))
   QUALIFY row_number() OVER (PARTITION BY d.batch_id ORDER BY CASE WHEN {key('d.part_number')} = rp.root_pn THEN 0 ELSE 1 END, d.pos, d.record_id) = 1),
@@ -398,7 +398,7 @@ def v15(spark, sf):
 
 
 # a tree that lacks BOM rows: here the children that were not uploaded are left out of the edges
-@query("u3_missing_bom_items", f"WITH {INTEGRITY.replace('e7 AS (SELECT e.* FROM e8 e JOIN nr', 'e7 AS (SELECT e.* FROM (SELECT * FROM e8 WHERE found) e JOIN nr', 1)} SELECT batch_id, type, severity, value FROM vv")
+@query("u3_missing_bom_items", f"WITH {INTEGRITY.replace('e7 AS MATERIALIZED (SELECT e.* FROM e8 e JOIN nr', 'e7 AS MATERIALIZED (SELECT e.* FROM (SELECT * FROM e8 WHERE found) e JOIN nr', 1)} SELECT batch_id, type, severity, value FROM vv")
 def u3(spark, sf):
     t = Tables(spark, sf)
     return T.tree_integrity(t.drawings(), t.bom(), _final_edges(t).where("found"), t.drawings().select("batch_id").distinct())
