@@ -10,8 +10,10 @@ from specmill.functions import exprs as E
 from specmill.operators import compare as C
 from specmill.operators import dimensions as D
 from specmill.operators import rules as V
+from specmill.operators import standardise as N
 from specmill.plans import pipeline, report_checks, rules_checks
 from specmill.plans.sqltext import check, key, lit, rx, stem, strip
+from specmill.plans.standardise_checks import _n2_sql
 from specmill.sources import readers, store, writers
 from specmill.sources.adapter import FLAT, Tables
 from specmill.streaming import jobs
@@ -276,13 +278,28 @@ def _events_stream(spark, t: Tables):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
 
 
-@query("x1_stream_new_records", "SELECT user_id, event_type, min(event_id) > -1 AS stored FROM events GROUP BY 1, 2")
+def _in_turn(spark, df, by: str, parts: int, path: str) -> None:
+    """Writes ``df`` as ``parts`` files, one after the other by ranges of ``by``, so that a file stream takes them in order."""
+    edges = df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.01)
+    for i, (low, high) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+        part = df if low is None else df.where(F.col(by) > low)
+        (part if high is None else part.where(F.col(by) <= high)).coalesce(1).write.mode("append").parquet(path)
+
+
+# the records arrive in two micro-batches; of each (part number, revision) the first is repaired and stored whole
+@query("x1_stream_new_records", f"""WITH one AS (SELECT min(record_id) AS record_id FROM records GROUP BY part_number, revision)
+SELECT n.record_id, n.part_number, n.drawing_number, n.pn_rule, r.batch_id, r.fingerprint, r.source_filename, r.revision, r.title, r.notes
+FROM one JOIN ({_n2_sql()}) n ON n.record_id = one.record_id JOIN records r ON r.record_id = one.record_id""")
 def x1(spark, sf):
     t = Tables(spark, sf)
     out = store.new_path(spark, "x1")
-    q = jobs.new_records(_events_stream(spark, t).select("event_id", "user_id", "event_type"), out + "/table", out + "/checkpoint", ["user_id", "event_type"])
-    q.awaitTermination()
-    return spark.read.parquet(out + "/table").select("user_id", "event_type", (F.col("event_id") > -1).alias("stored"))
+    _in_turn(spark, t.source("part"), "p_partkey", 2, out + "/in")
+    source = spark.readStream.schema(t.source("part").schema).option("maxFilesPerTrigger", 1).parquet(out + "/in")
+    records = t.typed_records(t.project(source, FLAT["records"][1]))
+    repair = lambda df: N.reconcile_identifiers(N.identifier_candidates(df))
+    jobs.new_records(records, out + "/table", out + "/checkpoint", ["part_number", "revision"], repair, F.col("record_id")).awaitTermination()
+    return spark.read.parquet(out + "/table").select(
+        "record_id", "part_number", "drawing_number", "pn_rule", "batch_id", "fingerprint", "source_filename", "revision", "title", "notes")
 
 
 @query("x2_stream_daily_costs", """WITH d AS (SELECT strftime(timestamp, '%Y-%m-%d') AS day, coalesce(mode, 'unknown') AS mode, CAST(sum(cost_usd) AS DOUBLE) AS cost_usd, count(*) AS count, date_trunc('day', timestamp) AS st FROM history GROUP BY 1, 2, 5)
@@ -296,6 +313,18 @@ def x2(spark, sf):
     return df.select(F.col("day").cast("string").alias("day"), "mode", F.col("cost_usd").cast("double").alias("cost_usd"), "count")
 
 
+# the open days too: every day's total so far, and whether it can still change
+@query("x2_stream_daily_costs_live", """SELECT strftime(timestamp, '%Y-%m-%d') AS day, coalesce(mode, 'unknown') AS mode, CAST(sum(cost_usd) AS DOUBLE) AS cost_usd, count(*) AS count,
+date_trunc('day', any_value(timestamp)) + INTERVAL 1 DAY <= (SELECT max(timestamp) FROM history) - INTERVAL 1 DAY AS final FROM history GROUP BY 1, 2""")
+def x2_live(spark, sf):
+    t = Tables(spark, sf)
+    out = store.new_path(spark, "x2")
+    history = t.project(_events_stream(spark, t), FLAT["history"][1])
+    jobs.upsert_to_table(jobs.running_daily_costs(history), out + "/table", out + "/checkpoint").awaitTermination()
+    return jobs.latest_daily_costs(spark, out + "/table").select(
+        F.col("day").cast("string").alias("day"), "mode", F.col("cost_usd").cast("double").alias("cost_usd"), "count", "final")
+
+
 @query("x3_stream_batch_outcome", """SELECT batch_id, count(*) AS total, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed, CAST(coalesce(sum(cost_usd) FILTER (NOT failed), 0) AS DOUBLE) AS cost_usd FROM drawings GROUP BY 1""")
 def x3(spark, sf):
     t = Tables(spark, sf)

@@ -536,7 +536,9 @@ class Tables:
         return self._once("typed records", self._records)
 
     def _records(self) -> DataFrame:
-        df = self.flat("records")
+        return self.typed_records(self.flat("records"))
+
+    def typed_records(self, df: DataFrame) -> DataFrame:
         return df.selectExpr(*[
             f"CAST(`{c}` AS {schemas.RECORD_TYPES[c]}) AS `{c}`" if not c.startswith("_cost") else f"`{c}`"
             for c in df.columns

@@ -112,5 +112,49 @@ def test_streams(spark, tmp_path):
     assert got == {"x": (2, 1, 1.5), "y": (1, 1, 2.0)}
 
 
+def _rows_of(spark, path):
+    return sorted((r.k or "", r.v, r.w) for r in spark.read.parquet(path).collect())
+
+
+def test_new_records_replayed_and_bounded(spark, tmp_path):
+    src, out, cp = tmp_path / "in", str(tmp_path / "stored"), tmp_path / "cp"
+    src.mkdir()
+    job = lambda df: df.withColumn("k", F.upper("k")).withColumn("w", F.col("v") * 10)  # noqa: E731  changes the key, too
+    run = lambda: jobs.new_records(spark.readStream.schema("k string, v int").json(str(src)), out, str(cp), ["k"], job, F.col("v"), 16).awaitTermination()
+    (src / "1.json").write_text('{"k":"a","v":2}\n{"k":"a","v":1}\n{"v":7}\n{"v":6}\n')
+    run()
+    (src / "2.json").write_text('{"k":"a","v":0}\n{"k":"b","v":4}\n{"v":1}\n')
+    run()
+    want = [("", 6, 60), ("A", 1, 10), ("B", 4, 40)]
+    assert _rows_of(spark, out) == want
+    (cp / "commits" / "1").unlink()  # as if the second micro-batch had failed after it wrote
+    for crc in (cp / "commits").glob(".1*"):
+        crc.unlink()
+    run()
+    assert _rows_of(spark, out) == want
+    touched = [r[0] for r in spark.createDataFrame([("b",)], "k string").select(jobs.key_bucket(["k"], 16)).collect()]
+    known = jobs.seen_keys(spark, out, 9, touched)
+    files = [r[0] for r in known.select(F.input_file_name()).distinct().collect()]
+    assert known.columns == ["k"] and files and all(f"bucket={touched[0]}/" in f for f in files)
+
+
+def test_running_daily_costs_with_late_rows(spark, tmp_path):
+    src, out, cp = tmp_path / "in", str(tmp_path / "o"), str(tmp_path / "cp")
+    src.mkdir()
+    row = lambda t, cost, mode="single": json.dumps({"timestamp": t, "mode": mode, "cost_usd": cost}) + "\n"
+    batches = [row("2024-01-01 10:00:00", 1) + row("2024-01-01 11:00:00", 2, None), row("2024-01-02 10:00:00", 4) + row("2024-01-01 23:00:00", 8),
+               row("2024-01-05 10:00:00", 16), row("2024-01-01 01:00:00", 32) + row("2024-01-05 11:00:00", 64)]
+    for i, body in enumerate(batches):
+        (src / f"{i}.json").write_text(body)
+        stream = spark.readStream.schema("timestamp timestamp, mode string, cost_usd double").json(str(src))
+        jobs.upsert_to_table(jobs.running_daily_costs(stream), out, cp).awaitTermination()
+        if i == 1:  # nothing is final yet, and everything is counted
+            got = jobs.latest_daily_costs(spark, out).collect()
+            assert sum(r.cost_usd for r in got) == 15 and not any(r.final for r in got)
+    got = {(str(r.day), r.mode): (r.cost_usd, r["count"], r.final) for r in jobs.latest_daily_costs(spark, out).collect()}
+    assert got == {("2024-01-01", "single"): (9.0, 2, True), ("2024-01-01", "unknown"): (2.0, 1, True), ("2024-01-02", "single"): (4.0, 1, True),
+                   ("2024-01-05", "single"): (80.0, 2, False)}  # the row of 32 came after its day was final
+
+
 def test_shared_folder_comes_from_session(spark):
     assert store.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
