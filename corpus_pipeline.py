@@ -1,7 +1,8 @@
 """A cleaning pipeline over ``documents``: toxicity, near duplicates, benchmark passages, secrets, packing.
 
 Each stage works on all rows that its predecessor kept; every stage is written as Parquet and read again, so a lost executor
-repeats one stage at most. Rows without doc_id can be no one's copy and stay; all else is as the operators define it.
+repeats one stage at most. Rows without doc_id or without words can be no one's copy and stay; rows of one doc_id with different texts are different
+documents; all else is as the operators define it.
 """
 
 from __future__ import annotations
@@ -19,9 +20,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays, once."""
-    copies = jaccard_join.components(docs).where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """Of each component of near copies the row with the smallest doc_id stays; rows without doc_id or without words all stay.
+
+    Rows are told apart by a number of their own, not by doc_id: rows of one id with different texts are different documents.
+    """
+    rows = shared.written(docs.withColumn("_row", F.monotonically_increasing_id()), shared.shared_folder(spark), "numbered")
+    named = rows.where("doc_id is not null").select("_row", "doc_id", "text")
+    groups = jaccard_join.components(named, "_row").where("n_shingles > 0").select(F.col("id").alias("_row"), "component_id")
+    groups = shared.written(groups.join(named.select("_row", "doc_id"), "_row"), shared.shared_folder(spark), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
+    copies = groups.join(first, "component_id").where("_row <> first._row").select("_row")
+    return rows.join(copies, "_row", "left_anti").select(docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def sized(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def dealt(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """Shingles by bucket, packed: names of sets, their counts, their shingles. One row per Arrow batch and bucket."""
+    """Shingles by bucket, packed: names of sets, their sizes and counts, their shingles. One row per Arrow batch and bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shared.by_bytes(batches, 0):
             values, places, n, sig = _columns(b, "text")
@@ -122,30 +122,32 @@ def dealt(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")  # owners stay ascending
             values, owner, bucket = values[order], owner[order], bucket[order]
             edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            out = {"bucket": [], "sigs": [], "counts": [], "values": []}
+            out = {"bucket": [], "sigs": [], "sizes": [], "counts": [], "values": []}
             for s, e in zip(edge, [*edge[1:], len(bucket)], strict=True):
                 own = owner[s:e]
                 at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 out["bucket"].append(int(bucket[s]))
                 out["sigs"].append(sig[own[at]].tobytes())
+                out["sizes"].append(n[own[at]].astype(np.uint32).tobytes())
                 out["counts"].append(np.diff(np.append(at, e - s)).astype(np.uint32).tobytes())
                 # the bucket is given by the leading bits: the trailing 6 bytes tell shingles of one bucket apart
                 out["values"].append(values[s:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=schema)
-    schema = pa.schema([("bucket", pa.int64()), ("sigs", pa.binary()), ("counts", pa.binary()), ("values", pa.binary())])
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket long, sigs binary, counts binary, values binary")
+    schema = pa.schema([("bucket", pa.int64()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("values", pa.binary())])
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket long, sigs binary, sizes binary, counts binary, values binary")
 
 
-def shared_shingles(rows: DataFrame) -> DataFrame:
-    """sig, tokens (packed shingles of a bucket that another set has too), counts (in how many sets)."""
+def shared_shingles(rows: DataFrame, ranges: int) -> DataFrame:
+    """Shingles that several sets have, packed by bucket and range of set names: names, sizes, how many shared shingles of the
+    bucket each has, the shingles, and in how many sets each is. One row per bucket and range, whatever the sets."""
     def run(t: pa.Table) -> pa.Table:
-        sigs = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("sigs").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()])
+        sigs, sizes, counts = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("sigs", np.uint64), ("sizes", np.uint32), ("counts", np.uint32)))
         six = np.frombuffer(b"".join(t.column("values").to_pylist()), np.uint8).reshape(-1, 6)
         values = np.zeros((len(six), 8), np.uint8)
         values[:, :6] = six
         values = values.view("<u8").ravel() | (np.uint64(t.column("bucket")[0].as_py() & 0xFFFF) << np.uint64(48))
-        names, which = np.unique(sigs, return_inverse=True)
+        names, first, which = np.unique(sigs, return_index=True, return_inverse=True)
+        sizes = sizes[first]
         owner = np.repeat(which, counts)
         order = np.argsort(values)
         twice = values[order][1:] == values[order][:-1]
@@ -161,24 +163,52 @@ def shared_shingles(rows: DataFrame) -> DataFrame:
         df = np.bincount(group)[group] if len(group) else group
         use = df > 1
         values, owner, df = values[use], owner[use], df[use]
-        order = np.argsort(owner, kind="stable")
-        values, owner, df = values[order], owner[order], df[order]
-        edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-        ends = [*edge[1:], len(owner)] if len(owner) else []
-        return pa.table({"sig": pa.array(shared.signed(names[owner[edge]]) if len(edge) else np.zeros(0, np.int64)),
-                         "tokens": pa.array([values[s:e].tobytes() for s, e in zip(edge, ends, strict=True)], pa.binary()),
-                         "dfs": pa.array([df[s:e].astype(np.uint32).tobytes() for s, e in zip(edge, ends, strict=True)], pa.binary()),
-                         "held": pa.array([e - s for s, e in zip(edge, ends, strict=True)], pa.int64())})
-    return rows.groupBy("bucket").applyInArrow(run, "sig long, tokens binary, dfs binary, held long")
+        order = np.argsort(owner, kind="stable")  # names are sorted, so owners of a range lie together
+        values, owner, df = values[order], owner[order], df[order].astype(np.uint32)
+        at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+        held = np.diff(np.append(at, len(owner))).astype(np.uint32)
+        own = owner[at] if len(owner) else at
+        part = _range(names[own], ranges)
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else at
+        ends, places = [*edge[1:], len(part)], np.append(at, len(owner))
+        cut = [(s, e, places[s], places[e]) for s, e in zip(edge, ends, strict=True)] if len(edge) else []
+        return pa.table({"part": pa.array(part[edge], pa.int64()), "sigs": pa.array([names[own[s:e]].tobytes() for s, e, _, _ in cut], pa.binary()),
+                         "sizes": pa.array([sizes[own[s:e]].tobytes() for s, e, _, _ in cut], pa.binary()), "held": pa.array([held[s:e].tobytes() for s, e, _, _ in cut], pa.binary()),
+                         "tokens": pa.array([values[x:y].tobytes() for _, _, x, y in cut], pa.binary()), "dfs": pa.array([df[x:y].tobytes() for _, _, x, y in cut], pa.binary())})
+    return rows.groupBy("bucket").applyInArrow(run, "part long, sigs binary, sizes binary, held binary, tokens binary, dfs binary")
+
+
+def _range(names: np.ndarray, ranges: int) -> np.ndarray:
+    return ((names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def able_sets(found: DataFrame, threshold: Fraction) -> DataFrame:
+    """sig, tokens, dfs of the sets of which enough is shared for a partner."""
+    def run(t: pa.Table) -> pa.Table:
+        sigs, sizes, held, tokens, dfs = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
+                                          for c, kind in (("sigs", np.uint64), ("sizes", np.uint32), ("held", np.uint32), ("tokens", np.uint64), ("dfs", np.uint32)))
+        names, first, which = np.unique(sigs, return_index=True, return_inverse=True)
+        total = np.bincount(which, weights=held, minlength=len(names)).astype(np.int64)
+        enough = total * threshold.denominator >= sizes[first].astype(np.int64) * threshold.numerator
+        owner = np.repeat(which, held)
+        use = enough[owner]
+        owner, tokens, dfs = owner[use], tokens[use], dfs[use]
+        order = np.lexsort((tokens, owner))
+        tokens, dfs = tokens[order], dfs[order]
+        ends = np.cumsum(total[enough])
+        cut = list(zip([0, *ends[:-1]], ends, strict=True)) if len(ends) else []
+        return pa.table({"sig": pa.array(shared.signed(names[enough])), "tokens": pa.array([tokens[s:e].tobytes() for s, e in cut], pa.binary()),
+                         "dfs": pa.array([dfs[s:e].tobytes() for s, e in cut], pa.binary())})
+    return found.groupBy("part").applyInArrow(run, "sig long, tokens binary, dfs binary")
 
 
 def prefixes(classes: DataFrame, threshold: Fraction) -> DataFrame:
-    """id, token: shingles of a class at which it can meet a partner. ``classes``: id, n, tokens, dfs (arrays of binary)."""
+    """id, token: shingles of a class at which it can meet a partner. ``classes``: id, n, tokens, dfs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
             for ident, n, tokens, dfs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                t, d = np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(dfs), np.uint32)
+                t, d = np.frombuffer(tokens, np.uint64), np.frombuffer(dfs, np.uint32)
                 places = n - _ceil(threshold * n) + 1 - (n - len(t))
                 if places > 0:
                     out.append(t[np.lexsort((t, d))[:places]])
@@ -269,7 +299,7 @@ def _gathered(lists: np.ndarray, heads: np.ndarray, which: np.ndarray) -> np.nda
 
 def _search(threshold: Fraction):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.sort(np.frombuffer(b"".join(t), np.uint64)) for t in rows["tokens"]]
+        sets = [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
         two = rows["side"].nunique() > 1
         side = rows["side"].to_numpy() if two else np.zeros(len(rows), np.int64)
         ids = rows["id"].to_numpy()
@@ -304,10 +334,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     sizes = shared.written(sized(docs, doc_id, text), folder, "sizes")
     classes = shared.written(sizes.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n")), folder, "classes")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    found = shared_shingles(dealt(docs, text, max(16, -(-total // BUCKET_BYTES))))
-    enough = F.col("held") * threshold.denominator >= F.col("n") * threshold.numerator
-    found = found.groupBy("sig").agg(F.sum("held").alias("held"), F.collect_list("tokens").alias("tokens"), F.collect_list("dfs").alias("dfs"))
-    able = shared.written(found.join(classes, "sig").where(enough).select("id", "n", "tokens", "dfs"), folder, "able")
+    buckets = max(16, -(-total // BUCKET_BYTES))
+    found = able_sets(shared_shingles(dealt(docs, text, buckets), buckets), threshold)
+    able = shared.written(found.join(classes, "sig").select("id", "n", "tokens", "dfs"), folder, "able")
     meet = shared.written(prefixes(able, threshold), folder, "prefixes")
     hub = meet.groupBy("token").agg(F.min("id").alias("hub"))
     blocks = shared.components(meet.join(hub, "token").select(F.col("id").alias("a"), F.col("hub").alias("b")), f"{folder}/blocks")

@@ -123,7 +123,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a column holds about ``limit`` bytes in each; a longer single text is a batch of its own."""
     for b in batches:
         sizes = np.nan_to_num(pa.compute.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(float))
@@ -138,11 +138,11 @@ _KEPT: dict[int, np.ndarray] = {}
 
 
 def kept_powers(base: int, n: int) -> np.ndarray:
-    """The first n powers; those of usual batches are computed once per worker."""
-    if n > 6 << 20:
+    """The first n powers; a worker keeps the first 2 million of each base (16 MB), whatever it works on later."""
+    if n > 2 << 20:
         return powers(base, n)
     if len(_KEPT.get(base, ())) < n:
-        _KEPT[base] = powers(base, min(max(n, 1 << 16) * 2, 6 << 20))
+        _KEPT[base] = powers(base, min(max(n, 1 << 16) * 2, 2 << 20))
     return _KEPT[base][:n]
 
 

@@ -294,9 +294,11 @@ def score(docs: DataFrame, scorer: Scorer | None, text: str = "text", out: str =
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")
-    def worst(texts: pd.Series) -> pd.Series:
+    def worst(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         s = held.value
-        return pd.Series(s.score(s.texts(texts)))
+        for texts in batches:
+            yield pd.Series(s.score(s.texts(texts)))
+        s.known = {}  # a worker outlives its task
 
     return docs.withColumn(out, worst(F.col(text)))
 

@@ -155,6 +155,33 @@ def test_bins(lengths):
         assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 20
 
 
+@pytest.mark.parametrize("low,high", [(300, 900), (500, 900), (1, 900)])
+def test_bins_search_empties_bins(low, high):
+    sizes = np.random.default_rng(1).integers(low, high + 1, 1500)
+    b = packing.Bins(sizes, 2048)
+    b.best_fit()
+    before = len(b.bins)
+    b.search()
+    after = sum(1 for own in b.bins if own)
+    assert after <= before and (low == 1 or after < before) and not b._round()
+    assert sorted(i for own in b.bins for i in own) == list(range(1500)) and all(sum(int(sizes[i]) for i in own) == f <= 2048 for own, f in zip(b.bins, b.fill, strict=True))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_bins_against_optimum(lengths):
+    def least(todo, free):  # the fewest bins, by trying every bin for every piece
+        if not todo:
+            return len(free)
+        n, rest = todo[0], todo[1:]
+        return min([least(rest, [*free[:k], f - n, *free[k + 1:]]) for k, f in enumerate(free) if f >= n] + [least(rest, [*free, 20 - n])])
+    b = packing.Bins(np.array(lengths, np.int64), 20)
+    b.best_fit()
+    b.search()
+    best = least(sorted(lengths, reverse=True), [])
+    assert best <= sum(1 for own in b.bins if own) <= best + 1
+
+
 # -- suffix dedup -------------------------------------------------------------------------------------------------------
 
 @settings(max_examples=200, deadline=None)
@@ -264,6 +291,16 @@ def test_t_occurrence(sets):
 
 # -- pipeline -----------------------------------------------------------------------------------------------------------
 
+def test_near_copies_lose_no_text(spark):
+    import corpus_pipeline
+    base, other = prose(1, 120), prose(2, 90)
+    rows = [(1, base, "a"), (5, base, "a"), (5, prose(7, 60), "a"), (None, "x", "a"), (None, "x", "b"), (6, other, "a"), (5, other + " z", "a"), (6, other, "a"), (8, "", "a"), (8, None, "a")]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:9], r.lang) for r in kept) == sorted(
+        [(1, base[:9], "a"), (5, rows[2][1][:9], "a"), (0, "x", "a"), (0, "x", "b"), (5, other[:9], "a"), (8, "", "a"), (8, "", "a")])
+    assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     r = np.random.default_rng(3)
