@@ -22,9 +22,22 @@ CHOICE = WINDOW - GRAM + 1
 
 
 def _hashes(words: Column, gram: int) -> Column:
+    """A hash per gram: words are hashed once, and runs of 1, 2, 4 and 8 words are joined by doubling."""
     n = F.size(words)
-    some = F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.xxhash64(F.lit(gram), F.slice(words, i + 1, gram)))
-    return F.when(n >= gram, some).otherwise(shared.empty_array("bigint"))
+
+    def joined(x: Column, y: Column, by: int) -> Column:
+        return F.zip_with(x, F.slice(y, by + 1, F.greatest(F.size(y) - by, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+
+    def runs(x: Column, length: int, left: int, made: int, out: Column | None) -> Column:
+        """``x``: hashes of runs of ``length`` words; ``left``: words still to come; ``out``: hashes of the first ``made`` words."""
+        if left & length:
+            out, made, left = (x if out is None else joined(out, x, made)), made + length, left - length
+        if not left:
+            return out
+        return shared.let(joined(x, x, length), lambda y: runs(y, length * 2, left, made, out))
+
+    some = shared.let(F.transform(words, lambda w: F.xxhash64(F.lit(gram), w)), lambda x: runs(x, 1, gram, 0, None))
+    return F.when(n >= gram, F.slice(some, F.lit(1), n - gram + 1)).otherwise(shared.empty_array("bigint"))
 
 
 def _shifted_least(h: Column, by: int) -> Column:
@@ -96,9 +109,10 @@ def annotate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     docs = docs.drop(out)
     passages, shorts = _passages(items, item_id, item_text)
     w = shared.words(F.col(text))
-    keyed = docs.select(shared.row_key(doc_id, text).alias("_k"), w.alias("w")).where(F.size("w") > 0)
+    keyed = docs.select(shared.row_key(doc_id, text).alias("_k"), w.alias("w"))
     sets = [fingerprints(F.col("w"), GRAM, CHOICE), *[fingerprints(F.col("w"), n, 1) for n in shorts]]
-    found = keyed.select("_k", F.explode(F.concat(*sets) if shorts else sets[0]).alias("f")).select("_k", "f.*")
+    # a plain explode makes Spark infer a filter on the array's size, which computes all fingerprints twice
+    found = keyed.select("_k", F.explode_outer(F.concat(*sets) if shorts else sets[0]).alias("f")).where("f.fp is not null").select("_k", "f.*")
     hits = found.join(passages, ["fp", "gram"]).select("_k", F.struct("pos", "gram", "left", "mid", "right", "need", "items").alias("h"))
     hits = hits.groupBy("_k").agg(F.collect_set("h").alias("_hits"))
 
