@@ -10,10 +10,11 @@ upper-cased within a batch.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from specmill import refdata as R
 from specmill.functions import exprs as E
@@ -110,21 +111,29 @@ def overview_label(c: Column) -> Column:
     return v.contains("asm_temp_image") | v.contains("overview image") | v.startswith("image")
 
 
+def overview_names(df: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct (batch_id, columns) of ``df`` any column of which names an overview image, by label, identifier or stem.
+
+    All forms of a row meet the identifiers in one join; the columns come back as ``_n0``, ``_n1``, ...
+    """
+    names = [f"_n{i}" for i in range(len(columns))]
+    named = df.select("batch_id", *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]).distinct()
+    label = reduce(or_, [overview_label(F.col(n)) for n in names])
+    forms = F.array_distinct(F.flatten(F.array(*[F.array(F.lower(_S(n)), E.stem(F.lower(_S(n)))) for n in names])))
+    known = named.where(~label).withColumn("v", F.explode_outer(forms)).join(ids, ["batch_id", "v"], "left_semi")
+    return named.where(label).unionByName(known.select("batch_id", *names).distinct())
+
+
 def without_overview(df: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows none of whose columns names an overview image, by label, identifier or stem."""
-    out = df
-    for c in columns:
-        out = out.where(~overview_label(F.col(c)))
-        for form in (F.lower(_S(c)), E.stem(F.lower(_S(c)))):
-            out = out.withColumn("v", form).join(ids, ["batch_id", "v"], "left_anti").drop("v")
-    return out.select(*df.columns)
+    """Rows none of whose columns names an overview image. Nulls are compared as values."""
+    hits = overview_names(df, ids, columns).withColumnRenamed("batch_id", "_nb")
+    same = [F.col("batch_id") == F.col("_nb")] + [F.col(c).eqNullSafe(F.col(f"_n{i}")) for i, c in enumerate(columns)]
+    return df.join(hits, reduce(and_, same), "left_anti")
 
 
 def filter_overview_roots(edges: DataFrame, drawings: DataFrame) -> DataFrame:
     """Drop the edges of parents that are overview images."""
-    named = edges.select("batch_id", "parent_pn", "parent_dwg").distinct()
-    kept = without_overview(named, overview_ids(drawings), ["parent_pn", "parent_dwg"])
-    return edges.join(kept, ["batch_id", "parent_pn", "parent_dwg"], "left_semi").select(*edges.columns)
+    return without_overview(edges, overview_ids(drawings), ["parent_pn", "parent_dwg"])
 
 
 def orphans(drawings: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,6 +171,39 @@ def _row(level: int, pn: Column, dwg: Column, desc: Column, qty: Column, mat: Co
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
+def _identifier_facts(drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """All that the tree needs to know of an identifier, one row per (batch_id, k), from one aggregation.
+
+    ``i`` is its last drawing, ``d`` its first one and ``first_ord`` that drawing's place; ``f`` the first BOM row that names it,
+    over the assemblies of the batch in order; ``is_kid``, ``is_root`` and ``is_image`` tell whether it is a child, a root or
+    an overview image. Every table contributes tagged rows, so nothing is joined or anti-joined per property.
+    """
+    ordinal = F.struct("pos", "record_id")
+    drawn = keyed(drawings).select("batch_id", "k", ordinal.alias("ord"), F.struct(
+        F.col("title").alias("i_title"), F.col("material").alias("i_material"), F.col("drawing_number").alias("i_dwg")).alias("i"), F.struct(
+        _S("part_number").alias("pn"), _S("drawing_number").alias("dwg"), _S("quantity").alias("quantity"), _S("material").alias("mat")).alias("d"),
+        overview_label(F.col("part_number")).alias("is_image"))
+    asm = without_overview(drawings.where(is_assembly(F.col("assembly_role")) & (E.key(F.col("part_number")) != "")), ids, ["part_number"])
+    asm = asm.select("batch_id", F.col("record_id").alias("parent_record_id"), F.col("pos").alias("asm_pos"), _S("part_number").alias("parent"))
+    items = keyed(bom).where("k <> ''").join(asm, ["batch_id", "parent_record_id"]).select(
+        "batch_id", "k", F.struct("asm_pos", "parent_record_id", "pos").alias("item_ord"), F.struct(
+            "parent", _S("part_number").alias("item_pn"), _S("qty").alias("item_qty"), _S("description").alias("item_desc")).alias("f"))
+    kids = keyed(edges, "child_pn").select("batch_id", "k", F.lit(True).alias("is_kid"))
+    tops = keyed(roots, "parent_pn").select("batch_id", "k", F.lit(True).alias("is_root"))
+    images = ids.select("batch_id", F.upper("v").alias("k"), F.lit(True).alias("is_image"))
+    # identifiers with a suffix are images by their stem too; hardly any has one
+    k = F.col("k")
+    suffixed = keyed(drawings).where(k.contains(".")).select("batch_id", "k", F.lower(E.stem(k)).alias("v"))
+    suffixed = suffixed.join(ids, ["batch_id", "v"], "left_semi").select("batch_id", "k", F.lit(True).alias("is_image"))
+    rows = drawn
+    for part in (items, kids, tops, images, suffixed):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    flag = lambda c: F.coalesce(F.max(c), F.lit(False)).alias(c)
+    return rows.where("k <> ''").groupBy("batch_id", "k").agg(
+        F.max_by("i", "ord").alias("i"), F.min_by("d", "ord").alias("d"), F.min("ord").alias("first_ord"),
+        F.min_by("f", "item_ord").alias("f"), flag("is_kid"), flag("is_root"), flag("is_image"))
+
+
 def product_tree(
     drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: DataFrame, keep: Keep = lambda df, name: df,
 ) -> DataFrame:
@@ -174,66 +216,69 @@ def product_tree(
     assembly; ``edges`` are their children. The tree is the union of roots and
     their children, uploaded drawings outside them (under the parent their BOM
     row names, or stand-alone), and purchased parts without a drawing.
+
+    One aggregation gathers the facts of every identifier; rows that stand for
+    themselves (roots, children, stand-alone drawings) meet them in one join.
     """
     ids = keep(overview_ids(drawings), "overview_ids")
-    index = keep(drawing_index(drawings), "index")
-    roots = without_overview(roots, ids, ["parent_pn", "parent_dwg"])
+    roots = keep(without_overview(roots, ids, ["parent_pn", "parent_dwg"]), "roots")
     edges = edges.join(roots.select("batch_id", "parent_pn", "parent_dwg").distinct(), ["batch_id", "parent_pn", "parent_dwg"], "left_semi")
-    named = without_overview(keyed(drawings).where("k <> ''"), ids, ["part_number"])
-
-    # 1 roots and their children
-    level0 = keyed(roots, "parent_pn").join(index, ["batch_id", "k"], "left").select(*_row(
-        0, _or(F.col("parent_pn"), "—"), F.when(F.col("parent_dwg") != "", F.col("parent_dwg")).otherwise(F.col("i_dwg")),
-        _blank(), F.lit("1"), F.col("i_material"), None))
-    kids = bom_lookup(edges.withColumnRenamed("child_pn", "part_number"), drawings, index).select(*_row(
-        1, _or(F.col("part_number"), "—"), F.col("child_dwg"), F.col("description"), _or(_S("qty"), "1"), F.col("material"),
-        _or(F.col("parent_pn"), "—")))
-
-    # first BOM row that names an identifier, over the assemblies of the batch in order
-    asm = named.where(is_assembly(F.col("assembly_role"))).select(
-        "batch_id", F.col("record_id").alias("parent_record_id"), F.col("pos").alias("asm_pos"), _S("part_number").alias("parent"))
-    items = keyed(bom.where(_S("part_number") != "").join(asm, ["batch_id", "parent_record_id"]))
-    first_item = items.groupBy("batch_id", "k").agg(F.min_by(F.struct(
-        "parent", _S("part_number").alias("item_pn"), _S("qty").alias("item_qty"), _S("description").alias("item_desc"), "asm_pos", "pos"),
-        F.struct("asm_pos", "parent_record_id", "pos")).alias("f")).select("batch_id", "k", "f.parent", "f.item_pn", "f.item_qty", "f.item_desc")
-    first_item = keep(first_item, "first_item")
-
-    # 2 + 3 uploaded drawings that are neither child nor root
-    shown_kids = edges.select("batch_id", E.key(F.col("child_pn")).alias("k")).where("k <> ''").distinct()
-    shown_roots = roots.select("batch_id", E.key(F.col("parent_pn")).alias("k")).distinct()
-    rest = named.join(shown_kids, ["batch_id", "k"], "left_anti").join(shown_roots, ["batch_id", "k"], "left_anti")
-    rest = keep(rest.join(first_item, ["batch_id", "k"], "left").withColumn("_ord", F.struct("pos", "record_id")), "rest")
-    # under a known parent: only the first drawing of an identifier
-    w = W.partitionBy("batch_id", "k").orderBy("_ord")
-    under = rest.where("parent IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    alone = rest.where("parent IS NULL")
+    facts = keep(_identifier_facts(drawings, bom, roots, edges, ids), "facts")
+    free = "NOT is_image AND NOT is_kid AND NOT is_root"  # neither child nor root nor image
+
+    # 1 roots, children and stand-alone drawings: one row each
+    tops = keyed(roots, "parent_pn").select(
+        F.lit(0).alias("kind"), "batch_id", "k", F.col("parent_pn").alias("pn"), F.col("parent_dwg").alias("dwg"))
+    kids = keyed(edges, "child_pn").select(
+        F.lit(1).alias("kind"), "batch_id", "k", F.col("child_pn").alias("pn"), F.col("child_dwg").alias("dwg"),
+        F.col("description").alias("desc"), _S("qty").alias("quantity"), F.col("parent_pn").alias("parent"))
+    own = keyed(drawings).where("k <> ''").select(
+        F.lit(2).alias("kind"), "batch_id", "k", _S("part_number").alias("pn"), _S("drawing_number").alias("dwg"),
+        _S("quantity").alias("quantity"), _S("material").alias("mat"))
+    rows = tops.unionByName(kids, allowMissingColumns=True).unionByName(own, allowMissingColumns=True)
+    seen = facts.select("batch_id", "k", "i", (F.expr(free) & F.col("f").isNull()).alias("alone"))
+    rows = rows.join(seen, ["batch_id", "k"], "left").where("kind < 2 OR alone")
+    kind, pn, dwg, last = F.col("kind"), F.col("pn"), F.col("dwg"), F.col("i")
+    known, said = E.strip_id(last["i_material"]), _S("desc")
+    parent = _or(F.col("parent"), "—")
+    name = F.when(kind == 2, pn).otherwise(_or(pn, "—"))
+    placed = rows.select(
+        "batch_id", F.when(kind == 1, 1).otherwise(0).cast("bigint").alias("level"), name.alias("part_number"),
+        F.coalesce(F.when((kind > 0) | (dwg != ""), dwg).otherwise(last["i_dwg"]), _blank()).alias("drawing_number"),
+        F.coalesce(F.when(kind == 1, F.when(said != "", said).otherwise(E.strip_id(last["i_title"]))), _blank()).alias("description"),
+        F.when(kind == 0, "1").otherwise(_or(F.col("quantity"), "1")).alias("qty"),
+        F.coalesce(F.when(kind == 0, last["i_material"]).when(kind == 2, F.col("mat"))
+                   .otherwise(F.when(known != "", known).otherwise(material_phrases(F.col("desc")))), _blank()).alias("material"),
+        F.when(kind == 1, parent).otherwise("").alias("parent_part_number"),
+        F.when(kind == 1, parent).otherwise(name).alias("root_part_number"),
+        F.when(kind == 1, F.concat_ws(" > ", parent, name)).otherwise(name).alias("hierarchy_path"))
+
+    # 2 under a known parent: the first drawing of an identifier
+    under = facts.where(free).where("d IS NOT NULL AND f IS NOT NULL").select("batch_id", "first_ord", "d.*", "f.*")
     level1 = under.select(*_row(
-        1, _S("part_number"), _S("drawing_number"), F.when(F.col("item_desc") != "", F.col("item_desc")), 
-        F.when(F.col("item_qty") != "", F.col("item_qty")).otherwise(_or(_S("quantity"), "1")), _S("material"), F.col("parent")))
-    stand = alone.select(*_row(0, _S("part_number"), _S("drawing_number"), _blank(), _or(_S("quantity"), "1"), _S("material"), None))
+        1, F.col("pn"), F.col("dwg"), F.when(F.col("item_desc") != "", F.col("item_desc")),
+        F.when(F.col("item_qty") != "", F.col("item_qty")).otherwise(_or(F.col("quantity"), "1")), F.col("mat"), F.col("parent")))
     # a parent is added before its first such child unless it is a root or already stands alone
-    first_child = under.withColumn("pk", E.key(F.col("parent"))).groupBy("batch_id", "pk").agg(
-        F.min_by("parent", "_ord").alias("parent"), F.min("_ord").alias("_first")).withColumnRenamed("pk", "k")
-    first_alone = alone.groupBy("batch_id", "k").agg(F.min("_ord").alias("_alone"))
+    first_child = under.groupBy("batch_id", E.key(F.col("parent")).alias("k")).agg(
+        F.min_by("parent", "first_ord").alias("parent"), F.min("first_ord").alias("child_ord"))
     added = (
-        first_child.join(shown_roots, ["batch_id", "k"], "left_anti").join(first_alone, ["batch_id", "k"], "left")
-        .where("_alone IS NULL OR _alone > _first").join(index, ["batch_id", "k"], "left")
-        .select(*_row(0, F.col("parent"), E.strip_id(F.col("i_dwg")), _blank(), F.lit("1"), E.strip_id(F.col("i_material")), None))
+        first_child.join(facts.select("batch_id", "k", "i", "is_root", "first_ord", (F.expr(free) & F.col("f").isNull()).alias("alone")), ["batch_id", "k"])
+        .where("NOT is_root AND (NOT alone OR first_ord > child_ord)")
+        .select(*_row(0, F.col("parent"), E.strip_id(last["i_dwg"]), _blank(), F.lit("1"), E.strip_id(last["i_material"]), None))
     )
 
-    # 4 purchased parts: BOM rows nothing else shows; batches without roots have none
-    shown = shown_kids.unionByName(shown_roots).unionByName(rest.select("batch_id", "k"))
-    with_roots = roots.select("batch_id").distinct()
+    # 3 purchased parts: BOM rows nothing else shows; batches without roots have none
     blank = (F.col("item_desc") == "") & (F.col("item_qty") == "")
     bought = (
-        first_item.join(with_roots, "batch_id", "left_semi").join(shown, ["batch_id", "k"], "left_anti")
+        facts.where("f IS NOT NULL AND NOT is_kid AND NOT is_root AND (d IS NULL OR is_image)").select("batch_id", "f.*")
+        .join(roots.select("batch_id").distinct(), "batch_id", "left_semi")
         .select(*_row(
             1, F.col("item_pn"), _blank(),
             F.when(blank, "[OCR_UNREADABLE]").otherwise(_or(F.col("item_desc"), "[PURCHASED PART / NO DRAWING]")),
             _or(F.col("item_qty"), "—"), _blank(), F.col("parent")))
     )
-    out = level0
-    for part in (kids, level1, stand, added, bought):
+    out = placed
+    for part in (level1, added, bought):
         out = out.unionByName(part)
     return out.select(*TREE_COLUMNS)
 
