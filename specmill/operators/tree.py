@@ -20,6 +20,7 @@ from specmill import refdata as R
 from specmill.functions import exprs as E
 
 _S = lambda c: E.strip_id(F.col(c))
+Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def _blank() -> Column:
@@ -89,9 +90,10 @@ def demote_nested_roots(edges: DataFrame) -> DataFrame:
 
     A batch with a single parent keeps it, whatever its children.
     """
-    kids = edges.select("batch_id", E.key(F.col("child_pn")).alias("k")).where("k <> ''").distinct()
-    several = edges.select("batch_id", "parent_record_id").distinct().groupBy("batch_id").agg(F.count("*").alias("_n"))
-    nested = kids.join(several.where("_n > 1").select("batch_id"), "batch_id", "left_semi")
+    parents = edges.select("batch_id", "parent_record_id", E.key(F.col("parent_pn")).alias("k")).distinct()
+    several = parents.groupBy("batch_id").agg(F.count_distinct("parent_record_id").alias("_n")).where("_n > 1").select("batch_id")
+    kids = keyed(edges, "child_pn").where("k <> ''").select("batch_id", "k")
+    nested = parents.select("batch_id", "k").distinct().join(several, "batch_id", "left_semi").join(kids, ["batch_id", "k"], "left_semi")
     return keyed(edges, "parent_pn").join(nested, ["batch_id", "k"], "left_anti").select(*edges.columns)
 
 
@@ -136,6 +138,12 @@ def filter_overview_roots(edges: DataFrame, drawings: DataFrame) -> DataFrame:
     return without_overview(edges, overview_ids(drawings), ["parent_pn", "parent_dwg"])
 
 
+def tree_edges(drawings: DataFrame, bom: DataFrame, keep: Keep = lambda df, name: df) -> DataFrame:
+    """J13, J8, J7 in turn: the edges the tree is built from. ``keep`` may write what later steps read several times."""
+    edges = keep(derive_edges(drawings, bom), "derived_edges")
+    return demote_nested_roots(keep(filter_overview_roots(edges, drawings), "shown_edges"))
+
+
 def orphans(drawings: DataFrame, edges: DataFrame) -> DataFrame:
     """PART drawings that are nobody's child."""
     kids = edges.select("batch_id", E.key(F.col("child_pn")).alias("k")).distinct()
@@ -168,9 +176,6 @@ def _row(level: int, pn: Column, dwg: Column, desc: Column, qty: Column, mat: Co
     ]
 
 
-Keep = Callable[[DataFrame, str], DataFrame]
-
-
 def _identifier_facts(drawings: DataFrame, bom: DataFrame, roots: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """All that the tree needs to know of an identifier, one row per (batch_id, k), from one aggregation.
 
@@ -349,30 +354,33 @@ def marking_xref(drawings: DataFrame, edges: DataFrame, steps: list[str] | None
         "batch_id", "record_id", F.lit("MARKING_PN_CROSS_REF").alias("type"), F.lit("INFO").alias("severity"), "source", "value")
 
 
-def tree_integrity(drawings: DataFrame, bom: DataFrame, edges: DataFrame, batches: DataFrame) -> DataFrame:
+def tree_integrity(drawings: DataFrame, bom: DataFrame, edges: DataFrame, batches: DataFrame, keep: Keep = lambda df, name: df) -> DataFrame:
     """Exactly one root; BOM within the tree; equal quantities; equal prefixed part and drawing numbers.
 
     ``batches`` is (batch_id), every batch to check. Batches without exactly one
-    root report only that.
+    root report only that. One row per batch holds its state, one aggregation per
+    identifier what the tree and the BOM say of it; ``keep`` may write both.
     """
-    n_roots = edges.select("batch_id", "root_pos", "parent_record_id", "parent_pn").distinct().groupBy("batch_id").agg(
-        F.count("*").alias("n"), F.max(F.upper("parent_pn")).alias("root_pn"))
-    state = batches.join(n_roots, "batch_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
-    f = lambda df, t, sev, value: df.select("batch_id", F.lit(t).alias("type"), F.lit(sev).alias("severity"), value.alias("value"))
-    out = f(state.where("n <> 1"), "TREE_STRUCTURE", "CRITICAL", F.col("n").cast("string"))
-    single = state.where("n = 1").select("batch_id")
-
-    main = main_assembly(drawings, bom, edges).join(single, "batch_id", "left_semi")
-    out = out.unionByName(f(single.join(main, "batch_id", "left_anti"), "TREE_BOM_SOURCE", "HIGH", _blank()))
-    checked = edges.join(main.select("batch_id"), "batch_id", "left_semi")
-    kids = keyed(checked, "child_pn").where("k <> ''")
-    rows = keyed(bom.join(main, ["batch_id", "parent_record_id"])).where("k <> ''")
-    gone = rows.select("batch_id", "k").distinct().join(kids.select("batch_id", "k").distinct(), ["batch_id", "k"], "left_anti")
-    out = out.unionByName(f(gone, "MISSING_BOM_ITEMS", "CRITICAL", F.col("k")))
+    n_roots = edges.groupBy("batch_id").agg(F.count_distinct(F.struct("root_pos", "parent_record_id", "parent_pn")).alias("n"))
+    state = batches.join(n_roots, "batch_id", "left").join(main_assembly(drawings, bom, edges), "batch_id", "left")
+    state = keep(state.select("batch_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "parent_record_id"), "states")
+    issue = lambda t, sev, value: F.struct(F.lit(t).alias("type"), F.lit(sev).alias("severity"), value.alias("value"))
+    found = lambda df, f: df.select("batch_id", f.alias("f")).select("batch_id", "f.*")
+    out = found(state.where("n <> 1"), issue("TREE_STRUCTURE", "CRITICAL", F.col("n").cast("string")))
+    out = out.unionByName(found(state.where("n = 1 AND parent_record_id IS NULL"), issue("TREE_BOM_SOURCE", "HIGH", _blank())))
+
+    main = state.where("n = 1 AND parent_record_id IS NOT NULL").select("batch_id", "parent_record_id")
+    kids = keyed(edges, "child_pn").where("k <> ''").join(main.select("batch_id"), "batch_id", "left_semi").select(
+        "batch_id", "k", _S("qty").alias("tree_qty"), E.key(F.col("child_dwg")).alias("dwg"))
+    rows = keyed(bom).where("k <> ''").join(main, ["batch_id", "parent_record_id"]).select(
+        "batch_id", "k", F.lit(True).alias("in_bom"), _S("qty").alias("bom_qty"), "pos")
     # the last BOM row of an identifier gives its quantity
-    qty = rows.groupBy("batch_id", "k").agg(F.max_by(_S("qty"), "pos").alias("bom_qty"))
-    diff = kids.withColumn("tree_qty", _S("qty")).join(qty, ["batch_id", "k"]).where("tree_qty <> '' AND bom_qty <> '' AND tree_qty <> bom_qty")
-    out = out.unionByName(f(diff, "QTY_MISMATCH", "CRITICAL", F.concat("k", F.lit(": tree="), "tree_qty", F.lit(", bom="), "bom_qty")))
-    dwg = E.key(F.col("child_dwg"))
-    odd = kids.where((dwg != "") & (F.col("k") != dwg) & F.col("k").startswith("BP") & dwg.startswith("BP"))
-    return out.unionByName(f(odd, "PN_DWG_MISMATCH", "HIGH", F.concat("k", F.lit(" / "), dwg)))
+    both = rows.unionByName(kids.select("batch_id", "k"), allowMissingColumns=True).groupBy("batch_id", "k").agg(
+        F.max("in_bom").alias("in_bom"), F.count_if(F.col("in_bom").isNull()).alias("n_kids"), F.max_by("bom_qty", "pos").alias("bom_qty"))
+    both = keep(both.where("in_bom"), "bom_items")
+    out = out.unionByName(found(both.where("n_kids = 0"), issue("MISSING_BOM_ITEMS", "CRITICAL", F.col("k"))))
+    odd = (F.col("dwg") != "") & (F.col("k") != F.col("dwg")) & F.col("k").startswith("BP") & F.col("dwg").startswith("BP")
+    out = out.unionByName(found(kids.where(odd), issue("PN_DWG_MISMATCH", "HIGH", F.concat("k", F.lit(" / "), "dwg"))))
+    diff = kids.where("tree_qty <> ''").join(both.where("n_kids > 0 AND bom_qty <> ''"), ["batch_id", "k"]).where("tree_qty <> bom_qty")
+    return out.unionByName(found(diff, issue(
+        "QTY_MISMATCH", "CRITICAL", F.concat("k", F.lit(": tree="), "tree_qty", F.lit(", bom="), "bom_qty"))))

@@ -259,7 +259,7 @@ def _edges(t: Tables):
 
 
 def _final_edges(t: Tables):
-    return t.written("edges", lambda: T.demote_nested_roots(T.filter_overview_roots(_edges(t), t.drawings())))
+    return t.written("edges", lambda: T.tree_edges(t.drawings(), t.bom(), store.materialise))
 
 
 @query("j13_derive_relationships", f"WITH {EDGES} SELECT {', '.join(_EDGE_OUT)} FROM ed")
@@ -394,11 +394,11 @@ UNION ALL SELECT batch_id, 'PN_DWG_MISMATCH', 'HIGH', k || ' / ' || upper(trim(c
 @query("v15_tree_integrity", f"WITH {INTEGRITY} SELECT batch_id, type, severity, value FROM vv")
 def v15(spark, sf):
     t = Tables(spark, sf)
-    return T.tree_integrity(t.drawings(), t.bom(), _final_edges(t), t.drawings().select("batch_id").distinct())
+    return T.tree_integrity(t.drawings(), t.bom(), _final_edges(t), t.drawings().select("batch_id").distinct(), store.materialise)
 
 
 # a tree that lacks BOM rows: here the children that were not uploaded are left out of the edges
 @query("u3_missing_bom_items", f"WITH {INTEGRITY.replace('e7 AS MATERIALIZED (SELECT e.* FROM e8 e JOIN nr', 'e7 AS MATERIALIZED (SELECT e.* FROM (SELECT * FROM e8 WHERE found) e JOIN nr', 1)} SELECT batch_id, type, severity, value FROM vv")
 def u3(spark, sf):
     t = Tables(spark, sf)
-    return T.tree_integrity(t.drawings(), t.bom(), _final_edges(t).where("found"), t.drawings().select("batch_id").distinct())
+    return T.tree_integrity(t.drawings(), t.bom(), _final_edges(t).where("found"), t.drawings().select("batch_id").distinct(), store.materialise)
