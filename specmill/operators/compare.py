@@ -19,8 +19,8 @@ def _change(category: str, field: str, type_: Column | str, key: Column, old: Co
                     old.alias("old"), new.alias("new"))
 
 
-def _signature(items: Column, element: T.DataType) -> Column:
-    """Map of item key to item text; a repeated key keeps its last item.
+def _entries(items: Column, element: T.DataType, side: int) -> Column:
+    """(key, side, order, text) of every item; the last of equal keys comes first. Null items do not count.
 
     The key joins the filled key fields; an item without any is known by its whole text.
     """
@@ -32,21 +32,25 @@ def _signature(items: Column, element: T.DataType) -> Column:
             F.to_json(x))
     else:
         text = key = lambda x: x.cast("string")
-    entries = F.array_sort(F.transform(F.coalesce(items, F.array().cast(T.ArrayType(element))), lambda x, i: F.struct(
-        key(x).alias("k"), (-i).alias("order"), text(x).alias("v"))))
-    first = E.let(entries, lambda es: F.filter(es, lambda e, i: (i == 0) | (F.get(es, i - 1)["k"] != e["k"])))
-    return F.map_from_entries(F.transform(first, lambda e: F.struct(e["k"], e["v"])))
+    filled = F.filter(F.coalesce(items, F.array().cast(T.ArrayType(element))), lambda x: x.isNotNull())
+    return F.transform(filled, lambda x, i: F.struct(key(x).alias("k"), F.lit(side).alias("side"), (-i).alias("order"), text(x).alias("v")))
 
 
-def _list_changes(category: str, field: str, a: Column, b: Column) -> Column:
-    ka, kb = F.map_keys(a), F.map_keys(b)
-    none = F.lit(None).cast("string")
-    return F.concat(
-        F.transform(F.array_except(ka, kb), lambda k: _change(category, field, "removed", k, F.try_element_at(a, k), none)),
-        F.transform(F.array_except(kb, ka), lambda k: _change(category, field, "added", k, none, F.try_element_at(b, k))),
-        F.transform(F.filter(F.array_intersect(ka, kb), lambda k: F.try_element_at(a, k) != F.try_element_at(b, k)),
-                    lambda k: _change(category, field, "modified", k, F.try_element_at(a, k), F.try_element_at(b, k))),
-    ).cast(_CHANGE)
+def _list_changes(category: str, field: str, a: Column, b: Column, element: T.DataType) -> Column:
+    """Both lists sorted together by key: an entry's partner is its neighbour, so the work is that of one sort.
+
+    A repeated key keeps its last item; equal lists are not looked into.
+    """
+    none, change = F.lit(None).cast("string"), lambda t, e, old, new: _change(category, field, t, e["k"], old, new)
+    beside = lambda es, i, e: F.coalesce(F.get(es, i)["k"] == e["k"], F.lit(False))
+    last = lambda es: F.filter(es, lambda e, i: ~(beside(es, i - 1, e) & (F.get(es, i - 1)["side"] == e["side"])) | (i == 0))
+    changes = lambda es: F.transform(es, lambda e, i: F.when(
+        e["side"] == 1, F.when(~beside(es, i - 1, e), change("added", e, none, e["v"]))
+    ).when(~beside(es, i + 1, e), change("removed", e, e["v"], none)
+    ).when(F.get(es, i + 1)["v"] != e["v"], change("modified", e, e["v"], F.get(es, i + 1)["v"])))
+    both = F.array_sort(F.concat(_entries(a, element, 0), _entries(b, element, 1)))
+    found = F.filter(E.let(E.let(both, last), changes), lambda c: c.isNotNull())
+    return F.when(a.eqNullSafe(b), F.array().cast(_CHANGE)).otherwise(found.cast(_CHANGE))
 
 
 def diff_revisions(a: DataFrame, b: DataFrame, key: str = "record_id") -> DataFrame:
@@ -59,17 +63,11 @@ def diff_revisions(a: DataFrame, b: DataFrame, key: str = "record_id") -> DataFr
     labels = ["part_number", "revision"]
     cols = list(dict.fromkeys([f for _, f in wanted] + labels))
     j = a.select(key, F.struct(*cols).alias("a")).join(b.select(key, F.struct(*cols).alias("b")), key, "full")
-    sig = {}
-    for _, f in wanted:
-        if isinstance(fields[f], T.ArrayType):
-            sig[f"_a_{f}"] = _signature(F.col(f"a.{f}"), fields[f].elementType)
-            sig[f"_b_{f}"] = _signature(F.col(f"b.{f}"), fields[f].elementType)
-    j = j.withColumns(sig)
     parts = []
     for category, f in wanted:
         x, y = F.col(f"a.{f}"), F.col(f"b.{f}")
         if isinstance(fields[f], T.ArrayType):
-            parts.append(_list_changes(category, f, F.col(f"_a_{f}"), F.col(f"_b_{f}")))
+            parts.append(_list_changes(category, f, x, y, fields[f].elementType))
             continue
         if isinstance(fields[f], T.StructType):
             x, y = F.coalesce(F.to_json(x), F.lit("")), F.coalesce(F.to_json(y), F.lit(""))

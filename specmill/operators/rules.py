@@ -262,10 +262,36 @@ def prefix_changes() -> Column:
 
 
 # ------------------------------------------------------------------ dimension columns used by rules
+def _compiles(pattern: Column) -> Column:
+    """Can the pattern be used, on its own and as part of a larger one? Told on the JVM, without failing the query."""
+    at_start = F.concat(F.lit("(?i)^(?:"), pattern, F.lit(")"))
+    ok = lambda c: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), c).isNotNull()
+    return F.coalesce(ok(pattern) & ok(at_start), F.lit(False))
+
+
+def broken_patterns(internal_spec: DataFrame) -> DataFrame:
+    """Dimension rows that no rule can use, with the reason; all other rows keep working."""
+    blank = E.strip(F.col("customer")) == ""
+    reason = F.when(blank, "blank customer").when(F.col("pattern").isNull(), "no pattern").when(~_compiles(F.col("pattern")), "does not compile")
+    return internal_spec.select("customer", "pattern", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def with_own_patterns(records: DataFrame, internal_spec: DataFrame) -> DataFrame:
-    """Adds ``_own_patterns``: the internal patterns of the record's customer."""
-    per = internal_spec.groupBy(F.col("customer").alias("_cust")).agg(F.collect_list("pattern").alias("_own_patterns"))
-    return records.withColumn("_cust", E.strip(F.col("customer"))).join(per, "_cust", "left").drop("_cust")
+    """Adds ``_own_patterns``: the internal patterns of the record's customer, null if there are none.
+
+    Each dimension row is compiled once here, and rows that do not compile are left out (see ``broken_patterns``), so that one
+    of them cannot fail the findings of all records. A customer's patterns become one alternation; only those that refer to
+    groups stay apart. Records without customer are spread, as they match nothing.
+    """
+    p = F.col("pattern")
+    apart = p.rlike(r"\\[1-9k]|\(\?<[A-Za-z]")
+    sets = internal_spec.where((E.strip(F.col("customer")) != "") & _compiles(p)).groupBy(F.col("customer").alias("_cust")).agg(
+        F.sort_array(F.collect_set(F.when(~apart, p))).alias("plain"), F.sort_array(F.collect_set(F.when(apart, p))).alias("apart"))
+    one = F.array(F.concat_ws("|", F.transform("plain", lambda x: F.concat(F.lit("(?:"), x, F.lit(")")))))
+    per = sets.select("_cust", F.when(F.size("plain") > 0, F.concat(one, "apart")).otherwise(F.col("apart")).alias("_own_patterns"))
+    name = E.strip(F.col("customer"))
+    spread = F.concat(F.lit("\n"), F.pmod(F.xxhash64("record_id"), F.lit(4096)).cast("string"))
+    return records.withColumn("_cust", F.when(name == "", spread).otherwise(name)).join(per, "_cust", "left").drop("_cust")
 
 
 def with_pn_owner(records: DataFrame, pn_prefix: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from specmill.plans import pipeline, report_checks, rules_checks
 from specmill.plans.sqltext import check, key, lit, rx, stem, strip
 from specmill.plans.standardise_checks import _n2_sql
 from specmill.sources import readers, store, writers
-from specmill.sources.adapter import FLAT, Tables
+from specmill.sources.adapter import FLAT, Dialect, Tables
 from specmill.streaming import jobs
 
 QUERIES = {}
@@ -266,10 +266,47 @@ def s9(spark, sf):
     return writers.flagged_rows(V.collect_findings(r, {"std": V.standards_body}), t.records())
 
 
-@query("s6_saved_records", "SELECT record_id, batch_id, TRUE AS saved FROM records")
+# written as two saves, one of them twice, and read back: every column is compared, texts with SQL and lists with the original
+_SAVED = {c: schemas.RECORD_TYPES.get(c, "") for c, _ in FLAT["records"][1][-1](Dialect(True))}
+_TEXTS = [c for c, t in _SAVED.items() if t == "string"]
+_LISTS = [c for c, t in _SAVED.items() if t.startswith("array")]
+
+
+@query("s6_saved_records", f"""SELECT {', '.join(f'"{c}"' for c in _TEXTS)}, {', '.join(f'CAST(len("{c}") AS BIGINT) AS "n_{c}"' for c in _LISTS)},
+TRUE AS saved, TRUE AS same FROM records""")
 def s6(spark, sf):
-    df = writers.with_saved_at(Tables(spark, sf).records())
-    return df.select("record_id", "batch_id", F.col("_saved_at").isNotNull().alias("saved"))
+    records = Tables(spark, sf).records()
+    out = store.new_path(spark, "s6")
+    odd = F.pmod(F.xxhash64("record_id"), F.lit(2)) == 1
+    writers.write_records(records.where(odd), out, save_id="odd")
+    for _ in range(2):
+        writers.write_records(records.where(~odd), out, save_id="even")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema)
+    got = readers.read_saved(spark, out, ddl + ", _saved_at timestamp")
+    both = got.join(records.select("record_id", F.struct(*records.columns).alias("o")), "record_id", "left")
+    same = F.struct(*[F.col(c) for c in records.columns]).eqNullSafe(F.col("o"))
+    return both.select(*_TEXTS, *[F.size(c).cast("bigint").alias(f"n_{c}") for c in _LISTS], F.col("_saved_at").isNotNull().alias("saved"), same.alias("same"))
+
+
+# appended as two saves, one of them twice, and read back
+@query("s7_append_ledger", """SELECT event_id, action, CASE WHEN "user" <> '' THEN "user" ELSE 'system' END AS "user", subject, CASE WHEN details <> '' THEN details END AS details, CASE WHEN model <> '' THEN model END AS model, cost_usd <> 0 AND cost_usd IS NOT NULL AS has_cost FROM audit""")
+def s7_append(spark, sf):
+    rows = writers.audit_rows(Tables(spark, sf).flat("audit"))
+    out = store.new_path(spark, "s7")
+    odd = F.col("event_id") % 2 == 1
+    writers.append_ledger(rows.where(odd), out, save_id="odd")
+    for _ in range(2):
+        writers.append_ledger(rows.where(~odd), out, save_id="even")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    got = readers.read_ledger(spark, out, ddl)
+    return got.select("event_id", "action", "user", "subject", "details", "model", F.col("cost_usd").isNotNull().alias("has_cost"))
+
+
+@query("s4_read_catalog", f"SELECT {', '.join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in [f'"{x}"' for x in readers.CATALOG_COLUMNS])} FROM catalog")
+def s4(spark, sf):
+    out = store.new_path(spark, "s4")
+    Tables(spark, sf).flat("catalog").select(*readers.CATALOG_COLUMNS).write.option("header", True).csv(out)
+    return readers.read_catalog(spark, out).select(*readers.CATALOG_COLUMNS)
 
 
 # --- X1, X2, X3: the streams run to the end of the files at hand

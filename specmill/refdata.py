@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # --- fixed values: identifiers -------------------------------------------------------
-PN_PREFIXES = "PWRL BBLE HLTA FTLS FTL MMA BG BN BO BP BB RF IAI EL".split()
-PN_BLACKLIST = "CAGE DWG DRAW DATE NOTES QTY SIZE REV SHEET SCALE TOLERANCE FINISH".split()
+PN_PREFIXES = ["PWRL", "BBLE", "HLTA", "FTLS", "FTL", "MMA", "BG", "BN", "BO", "BP", "BB", "RF", "IAI", "EL"]
+PN_BLACKLIST = ["CAGE", "DWG", "DRAW", "DATE", "NOTES", "QTY", "SIZE", "REV", "SHEET", "SCALE", "TOLERANCE", "FINISH"]
 PN_NARROW = r"\b([A-Z]{2,4}[A-Z0-9]{0,3}\d{2,}[A-Z0-9]*)\b"
 # ordered: the first pattern that matches wins
 PN_GENERIC = [
@@ -36,20 +36,20 @@ PN_HEADER_WORDS = [
 PN_ITEM_CELL = r"^(?:ITEM|PART|NO\.?|NUM(?:BER)?|#)\s+\d+$"
 EMPTY_MARKERS = ["", "-", "—", "N/A", "NA", "NONE", "NULL"]
 # characters that are read for one another (each pair holds in both directions; not transitive)
-LOOKALIKE_PAIRS = "B8 O0 I1 S5 Z2 G6 T7 D0 Q0 L1 JU B3 EF LI P0".split()
+LOOKALIKE_PAIRS = ["B8", "O0", "I1", "S5", "Z2", "G6", "T7", "D0", "Q0", "L1", "JU", "B3", "EF", "LI", "P0"]
 REV_IN_FILENAME = r"(?i)(?:^|[_#\-\s])Rev\.?[\s_\-]?([A-Z0-9]{1,3})(?=[_#\-\s\.]|$)"
 
 # --- fixed values: colours, brands, coatings -----------------------------------------
-RAL_CODES = """
-1000 1001 1002 1003 1004 1005 1006 1007 1011 1012 1013 1014 1015 1016 1017 1018 1019 1020 1021 1023 1024 1026 1027 1028
-2000 2001 2002 2003 2004 2005 2008 2009 2010 2011 2012 2013
-3000 3001 3002 3003 3004 3005 3007 3009 3011 3012 3013 3014 3015 3016 3017 3018 3020 3022 3024 3026 3027 3028 3031 3032 3033
-5000 5001 5002 5003 5004 5005 5007 5008 5009 5010 5011 5012 5013 5014 5015 5017 5018 5019 5020 5021 5022 5023 5024
-6000 6001 6002 6003 6004 6005 6006 6007 6008 6009 6010 6011 6012 6013 6014 6015 6016 6017 6018 6019 6020 6021 6022 6024 6025 6026 6027 6028 6029 6032 6033 6034
-7000 7001 7002 7003 7004 7005 7006 7008 7009 7010 7011 7012 7013 7015 7016 7021 7022 7023 7024 7026 7030 7031 7032 7033 7034 7035 7036 7037 7038 7039 7040 7042 7043 7044 7045 7046 7047 7048
-8000 8001 8002 8003 8004 8007 8008 8011 8012 8014 8015 8016 8017 8019 8022 8023 8024 8025 8028 8029
-9001 9002 9003 9004 9005 9006 9007 9010 9011 9016 9017 9018
-""".split()
+RAL_CODES = [
+    "1000", "1001", "1002", "1003", "1004", "1005", "1006", "1007", "1011", "1012", "1013", "1014", "1015", "1016", "1017", "1018", "1019", "1020", "1021", "1023", "1024", "1026", "1027", "1028",
+    "2000", "2001", "2002", "2003", "2004", "2005", "2008", "2009", "2010", "2011", "2012", "2013",
+    "3000", "3001", "3002", "3003", "3004", "3005", "3007", "3009", "3011", "3012", "3013", "3014", "3015", "3016", "3017", "3018", "3020", "3022", "3024", "3026", "3027", "3028", "3031", "3032", "3033",
+    "5000", "5001", "5002", "5003", "5004", "5005", "5007", "5008", "5009", "5010", "5011", "5012", "5013", "5014", "5015", "5017", "5018", "5019", "5020", "5021", "5022", "5023", "5024",
+    "6000", "6001", "6002", "6003", "6004", "6005", "6006", "6007", "6008", "6009", "6010", "6011", "6012", "6013", "6014", "6015", "6016", "6017", "6018", "6019", "6020", "6021", "6022", "6024", "6025", "6026", "6027", "6028", "6029", "6032", "6033", "6034",
+    "7000", "7001", "7002", "7003", "7004", "7005", "7006", "7008", "7009", "7010", "7011", "7012", "7013", "7015", "7016", "7021", "7022", "7023", "7024", "7026", "7030", "7031", "7032", "7033", "7034", "7035", "7036", "7037", "7038", "7039", "7040", "7042", "7043", "7044", "7045", "7046", "7047", "7048",
+    "8000", "8001", "8002", "8003", "8004", "8007", "8008", "8011", "8012", "8014", "8015", "8016", "8017", "8019", "8022", "8023", "8024", "8025", "8028", "8029",
+    "9001", "9002", "9003", "9004", "9005", "9006", "9007", "9010", "9011", "9016", "9017", "9018",
+]
 PAINT_BRANDS = [
     "TAMBOUR", "TAMAGLAS", "TAMGLAS", "NIRLAT", "TIKKURILA",
     "SHERWIN-WILLIAMS", "SHERWIN WILLIAMS", "SHERWINWILLIAMS",
@@ -106,7 +106,7 @@ STANDARD_IGNORE = [
 STANDARD_IGNORE_PATTERN = r"(?i)^(?:ROHS\b.*|REACH\b.*|IPC\s+STANDARDS?$)"
 RAL_AS_STANDARD = r"(?i)^RAL[\s\-]?\d{3,4}"
 LOWERCASE_SPEC = r"^(sm|ps|rafdocs|gen)[\s.-]?\d"
-TEST_METHODS = "GTAW GMAW TIG MIG WPS VT PT MT UT RT PAINTING MARKING WELDING".split()
+TEST_METHODS = ["GTAW", "GMAW", "TIG", "MIG", "WPS", "VT", "PT", "MT", "UT", "RT", "PAINTING", "MARKING", "WELDING"]
 CUSTOMER_CLUES_DEFAULT = ["SUPPLIER", "WORKS"]
 
 # --- fixed values: free text ---------------------------------------------------------

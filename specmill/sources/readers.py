@@ -18,6 +18,17 @@ def _readable(corrupt: str, other: str) -> Column:
     return F.col(corrupt).isNull() & (F.length(F.coalesce(F.col(other).cast("string"), F.lit(""))) >= 0)
 
 
+def _place() -> Column:
+    """Place of a row in its file. Spark may read the blocks of a file in any order, so the number alone, which rises
+    only within a block, does not tell."""
+    return F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_saved(spark: SparkSession, path: str, ddl: str, fmt: str = "json") -> DataFrame:
+    """S6 read back: the rows of every save below ``path`` as they were written."""
+    return spark.read.schema(ddl).format(fmt).load(path)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Result JSON files of a folder, one object per file; unreadable and non-object files are skipped.
 
@@ -53,7 +64,7 @@ def read_ledger(spark: SparkSession, path: str, ddl: str, limit: int | None = No
     """Ledger rows, newest first, filtered before the limit. Bad lines are skipped."""
     df = (
         spark.read.schema(ddl + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-        .select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+        .select("*", F.col("_metadata.file_path").alias("_file"), _place().alias("_line"))
     )
     df = df.where(_readable("_bad", df.columns[0])).drop("_bad"
     )
@@ -96,7 +107,7 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     else:
         df = spark.read.format(fmt).load(path).toDF(*CATALOG_COLUMNS)
     text = [F.when(F.col(c).cast("string").isin("nan", "None"), "").otherwise(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in CATALOG_COLUMNS]
-    return df.select(F.monotonically_increasing_id().alias("ordinal"), *text)
+    return df.select(F.struct(F.col("_metadata.file_path").alias("file"), _place().alias("place")).alias("ordinal"), *text)
 
 
 def suffix(path: Column) -> Column:

@@ -10,18 +10,28 @@ def with_saved_at(df: DataFrame) -> DataFrame:
     return df.withColumn("_saved_at", F.current_timestamp())
 
 
-def write_records(records: DataFrame, path: str, fmt: str = "json", relationships: DataFrame | None = None, partition_by: list[str] | None = None) -> None:
+def _save(df: DataFrame, path: str, fmt: str, save_id: str | None, partition_by: list[str] | None = None, **options) -> None:
+    """Appends, or, with a ``save_id``, commits under that name: the same save run again replaces itself and adds nothing."""
+    if save_id is None:
+        w, parts = df.write.mode("append"), list(partition_by or [])
+    else:
+        w = df.withColumn("save_id", F.lit(save_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        parts = ["save_id", *(partition_by or [])]
+    (w.partitionBy(*parts) if parts else w).format(fmt).options(**options).save(path)
+
+
+def write_records(records: DataFrame, path: str, fmt: str = "json", relationships: DataFrame | None = None, partition_by: list[str] | None = None,
+                  save_id: str | None = None) -> None:
     """Results with their time of saving. The combined payload of a batch is two folders, ``drawings`` and
-    ``relationships``, both keyed by ``batch_id``: no batch is gathered into one object."""
-    def save(df: DataFrame, target: str) -> None:
-        w = with_saved_at(df).write.mode("append").format(fmt)
-        (w.partitionBy(*partition_by) if partition_by else w).save(target)
+    ``relationships``, both keyed by ``batch_id``: no batch is gathered into one object.
 
+    A ``save_id`` names the commit, so that a job that is run again after a failure leaves every record once.
+    """
     if relationships is None:
-        save(records, path)
+        _save(with_saved_at(records), path, fmt, save_id, partition_by)
     else:
-        save(records, f"{path}/drawings")
-        save(relationships, f"{path}/relationships")
+        _save(with_saved_at(records), f"{path}/drawings", fmt, save_id, partition_by)
+        _save(with_saved_at(relationships), f"{path}/relationships", fmt, save_id, partition_by)
 
 
 def history_rows(df: DataFrame) -> DataFrame:
@@ -43,9 +53,9 @@ def audit_rows(df: DataFrame, default_user: str = "system") -> DataFrame:
     })
 
 
-def append_ledger(df: DataFrame, path: str) -> None:
-    """Append JSON lines; null fields are left out."""
-    df.write.mode("append").option("ignoreNullFields", True).json(path)
+def append_ledger(df: DataFrame, path: str, save_id: str | None = None) -> None:
+    """Append JSON lines; null fields are left out. With a ``save_id``, appending the same rows again adds nothing."""
+    _save(df, path, "json", save_id, ignoreNullFields=True)
 
 
 def ledger_lines(df: DataFrame) -> DataFrame:

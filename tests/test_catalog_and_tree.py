@@ -125,3 +125,30 @@ def test_diff_keeps_similar_items_and_unpaired_records(spark, records):
 def test_first_of_content_without_fingerprint(spark, records):
     r = records(*[{"record_id": f"r{i}", "source_filename": f"{9 - i}.pdf", "fingerprint": f} for i, f in enumerate(["a", "a", None, None])])
     assert {x.record_id: x._first for x in P.first_of_content(r, ["batch_id"]).collect()} == {"r0": False, "r1": True, "r2": True, "r3": True}
+
+
+def test_diff_of_repeated_null_and_many_items(spark, records):
+    a = records({"standards": ["X", "X", None, "Y"], "machining_processes": [("1", "TURN", "", "a"), ("1", "TURN", "", "b")]},
+                {"standards": [f"S{i}" for i in range(400)]})
+    b = records({"standards": ["Y", "X"], "machining_processes": [("1", "TURN", "", "b"), ("1", "TURN", "", "c")]},
+                {"standards": [f"S{i}" for i in range(399, 0, -1)] + ["T"]})
+    got = {(r.record_id, r.type, r.key) for r in C.explode_changes(C.diff_revisions(a, b)).collect()}
+    assert got == {("r0", "modified", "1 | TURN"), ("r1", "removed", "S0"), ("r1", "added", "T")}
+
+
+def test_tree_facts_per_identifier(spark):
+    """A part under two assemblies, a repeated drawing, an overview image known by its file stem, a purchased part."""
+    d = spark.createDataFrame(
+        [("b", 0, "a1", "BP1", "D1", "ASSEMBLY", "", "A", "1", "f.pdf"), ("b", 1, "a2", "BP2", "D2", "ASSEMBLY", "", "B", "1", "g.pdf"),
+         ("b", 2, "p", "BP3", "D3", "PART", "STEEL", "P", "2", "h.pdf"), ("b", 3, "p2", "bp3", "D3", "PART", "BRASS", "P", "2", "h2.pdf"),
+         ("b", 4, "o", "", "", "Assembly Overview Image", "", "", "", "PIC7.png"), ("b", 5, "x", "pic7.tif", "", "PART", "", "", "", "i.pdf")],
+        "batch_id string, pos int, record_id string, part_number string, drawing_number string, assembly_role string, material string, title string, quantity string, source_filename string")
+    bom = spark.createDataFrame(
+        [("b", "a1", 0, 0, "1", "BP3", "", "4"), ("b", "a2", 1, 0, "1", "BP3", "late", "9"), ("b", "a2", 1, 1, "2", "BUY1", "BOLT", "8")],
+        "batch_id string, parent_record_id string, parent_pos int, pos int, item_no string, part_number string, description string, qty string")
+    edges = T.tree_edges(d, bom)
+    rows = lambda e: sorted((r.level, r.part_number, r.qty, r.material, r.hierarchy_path) for r in T.product_tree(d, bom, T.roots_of(e), e).collect())
+    assert rows(edges) == [(0, "BP1", "1", "", "BP1"), (0, "BP2", "1", "", "BP2"), (1, "BP3", "4", "BRASS", "BP1 > BP3"), (1, "BP3", "9", "BRASS", "BP2 > BP3"),
+                           (1, "BUY1", "8", "", "BP2 > BUY1")]
+    # without edges the first BOM row gives the parent, and batches without roots have no purchased parts
+    assert rows(edges.where("1 = 0")) == [(0, "BP1", "1", "", "BP1"), (0, "BP2", "1", "", "BP2"), (1, "BP3", "4", "STEEL", "BP1 > BP3")]

@@ -69,3 +69,18 @@ def test_owner_and_hints(spark, records):
 def test_failing_rule_does_not_stop_others(records):
     good, skipped = V.usable_rules(records({}), V.ALL_RULES)
     assert set(skipped) == {"standards_body", "internal_specs", "party_prefix", "packing"} and "ral_codes" in good
+
+
+def test_a_broken_pattern_costs_no_other_finding(spark, records):
+    df = records({"customer": "A", "standards": ["Q1", "NOBODY-7"]}, {"customer": "B", "standards": ["Z9", "a1b1", "a1b2"]},
+                 {"customer": "", "standards": ["Q1"]})
+    spec = spark.createDataFrame([("A", "Q[0-9]"), ("A", "(("), ("A", r"\Qx"), ("B", "Z9"), ("B", r"(.)1(.)\2"), ("B", r"a([0-9])b\1"), ("", "Q"), ("B", None)],
+                                 "customer string, pattern string")
+    assert {(r.customer, r.pattern, r.reason) for r in V.broken_patterns(spec).collect()} == {
+        ("A", "((", "does not compile"), ("A", r"\Qx", "does not compile"), ("", "Q", "blank customer"), ("B", None, "no pattern")}
+    own = V.with_own_patterns(df, spec)
+    assert {r.record_id: r._own_patterns and len(r._own_patterns) for r in own.collect()} == {"r0": 1, "r1": 3, "r2": None}
+    got = _types(own, V.standards_body, V.internal_specs)
+    assert got["r0"] == [("SUSPICIOUS_STANDARD", "NOBODY-7"), ("CUSTOMER_INTERNAL_SPEC", "Q1")]
+    assert got["r1"] == [("SUSPICIOUS_STANDARD", "a1b2"), ("CUSTOMER_INTERNAL_SPEC", "Z9"), ("CUSTOMER_INTERNAL_SPEC", "a1b1")]
+    assert got["r2"] == [("SUSPICIOUS_STANDARD", "Q1")]

@@ -158,3 +158,27 @@ def test_running_daily_costs_with_late_rows(spark, tmp_path):
 
 def test_shared_folder_comes_from_session(spark):
     assert store.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_saves_run_twice_add_nothing(spark, records, tmp_path):
+    df = records({"part_number": "P", "standards": ["A,B"], "material": ""}, {"part_number": "Q\n\"x\"", "machining_processes": [("1", "TURN", "", "d")]}).drop("_user_edits")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    for save in ("one", "two", "two", "one"):
+        writers.write_records(df, str(tmp_path / "r"), save_id=save)
+        writers.append_ledger(df.select("record_id", "part_number"), str(tmp_path / "l"), save_id=save)
+    got = readers.read_saved(spark, str(tmp_path / "r"), ddl).where("save_id = 'one'").select(df.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    assert readers.read_saved(spark, str(tmp_path / "r"), ddl).count() == 4
+    lines = readers.read_ledger(spark, str(tmp_path / "l"), "record_id string, part_number string", order="record_id")
+    assert [r.record_id for r in lines.collect()] == ["r1", "r1", "r0", "r0"]
+
+
+def test_rows_of_a_file_read_in_blocks_keep_its_order(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("a,b,c,d,e,f,g,h\n" + "".join(f"ms.{i},x,,,,,,n\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = [r.master_id for r in readers.read_catalog(spark, str(tmp_path / "c.csv")).orderBy("ordinal").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"ms.{i}" for i in range(500)]
