@@ -214,8 +214,9 @@ def product_tree(
 ) -> DataFrame:
     """The flat two-level tree of every batch.
 
-    ``keep(df, name)`` may write the intermediate tables that several branches
-    read, so that each is computed once.
+    ``keep(df, name)`` writes the intermediate tables that several branches
+    read, so that each is computed once (``store.materialise``); without it
+    every branch plans and computes them anew, which suits only a few rows.
 
     ``roots`` is (batch_id, root_pos, parent_pn, parent_dwg), one row per root
     assembly; ``edges`` are their children. The tree is the union of roots and

@@ -146,8 +146,9 @@ def test_tree_facts_per_identifier(spark):
     bom = spark.createDataFrame(
         [("b", "a1", 0, 0, "1", "BP3", "", "4"), ("b", "a2", 1, 0, "1", "BP3", "late", "9"), ("b", "a2", 1, 1, "2", "BUY1", "BOLT", "8")],
         "batch_id string, parent_record_id string, parent_pos int, pos int, item_no string, part_number string, description string, qty string")
-    edges = T.tree_edges(d, bom)
-    rows = lambda e: sorted((r.level, r.part_number, r.qty, r.material, r.hierarchy_path) for r in T.product_tree(d, bom, T.roots_of(e), e).collect())
+    edges = store.materialise(T.tree_edges(d, bom, store.materialise), "edges")
+    tree = lambda e: T.product_tree(d, bom, T.roots_of(e), e, store.materialise)
+    rows = lambda e: sorted((r.level, r.part_number, r.qty, r.material, r.hierarchy_path) for r in tree(e).collect())
     assert rows(edges) == [(0, "BP1", "1", "", "BP1"), (0, "BP2", "1", "", "BP2"), (1, "BP3", "4", "BRASS", "BP1 > BP3"), (1, "BP3", "9", "BRASS", "BP2 > BP3"),
                            (1, "BUY1", "8", "", "BP2 > BUY1")]
     # without edges the first BOM row gives the parent, and batches without roots have no purchased parts
