@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
@@ -73,6 +75,17 @@ def merge_dimensions(dims: dict[str, DataFrame], changes: DataFrame) -> dict[str
     return out
 
 
+def update_dimensions(dims: dict[str, DataFrame], changes: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
+    """N15 with S3: the merged tables, written by ``keep`` under new names and validated there.
+
+    A violation or a pattern that does not compile raises ``ValueError``; the old tables are never touched, so a failed change
+    leaves them in use.
+    """
+    merged = {t: keep(df, f"dim_{t}") for t, df in merge_dimensions(dims, changes).items()}
+    require_valid(merged)
+    return merged
+
+
 def dimension_rollup(dims: dict[str, DataFrame]) -> DataFrame:
     """One row per customer named anywhere, with sorted codes, aliases, prefixes and patterns."""
     tagged = None

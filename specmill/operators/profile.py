@@ -267,8 +267,8 @@ def stale_results(files: DataFrame, keep: int = 1) -> DataFrame:
     return v.join(newest, "version", "left_anti").select("name", "version")
 
 
-def export_table_set(records: DataFrame) -> dict[str, DataFrame]:
-    """S8 (record part): the named tables of the export."""
+def export_table_set(records: DataFrame, tree: DataFrame | None = None, image_tree: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The named tables of the export; of a batch also its product tree and its linked overview items."""
     from specmill.operators import ledger
 
     out = {"summary": record_summary(records), "bom": flatten_bom(records), "standards": flatten_standards(records),
@@ -276,4 +276,4 @@ def export_table_set(records: DataFrame) -> dict[str, DataFrame]:
     for c in PROCESS_LISTS:
         if c != "additional_processes":
             out[c] = flatten_process(records, c)
-    return out
+    return out | {k: v for k, v in (("tree", tree), ("image_tree", image_tree)) if v is not None}

@@ -289,16 +289,15 @@ def with_own_patterns(records: DataFrame, internal_spec: DataFrame) -> DataFrame
         F.sort_array(F.collect_set(F.when(~apart, p))).alias("plain"), F.sort_array(F.collect_set(F.when(apart, p))).alias("apart"))
     one = F.array(F.concat_ws("|", F.transform("plain", lambda x: F.concat(F.lit("(?:"), x, F.lit(")")))))
     per = sets.select("_cust", F.when(F.size("plain") > 0, F.concat(one, "apart")).otherwise(F.col("apart")).alias("_own_patterns"))
-    name = E.strip(F.col("customer"))
-    spread = F.concat(F.lit("\n"), F.pmod(F.xxhash64("record_id"), F.lit(4096)).cast("string"))
-    return records.withColumn("_cust", F.when(name == "", spread).otherwise(name)).join(per, "_cust", "left").drop("_cust")
+    return records.withColumn("_cust", E.join_key(E.strip(F.col("customer")))).join(per, "_cust", "left").drop("_cust")
 
 
 def with_pn_owner(records: DataFrame, pn_prefix: DataFrame) -> DataFrame:
     """Adds ``_pn_owner``, the customer of the longest known prefix of the part number.
 
     Every leading substring of a distinct part number is an equi-join key, so
-    no pair of part number and prefix is formed that does not match.
+    no pair of part number and prefix is formed that does not match. Records
+    without part number have no owner and are spread.
     """
     df = records.withColumn("_pn", E.key(F.col("part_number")))
     lead = F.transform(F.sequence(F.lit(1), F.length("_pn")), lambda n: F.substr("_pn", F.lit(1), n))
@@ -308,7 +307,7 @@ def with_pn_owner(records: DataFrame, pn_prefix: DataFrame) -> DataFrame:
         .join(pn_prefix.select("prefix", "customer"), "prefix")
         .groupBy("_pn").agg(F.max_by("customer", F.length("prefix")).alias("_pn_owner"))
     )
-    return df.join(owner, "_pn", "left").drop("_pn")
+    return df.withColumn("_pn", E.join_key(F.col("_pn"))).join(owner, "_pn", "left").drop("_pn")
 
 
 # ------------------------------------------------------------------ V16, V17, V18

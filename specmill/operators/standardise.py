@@ -407,14 +407,21 @@ def fix_phrases(c: Column) -> Column:
     return F.when(may_need_phrase_fix(c), out).otherwise(c)
 
 
+def _fix_and_label(pattern: str, repl: str, label: str):
+    """One step of the fold over (text, labels): the text is rewritten, and labelled if the pattern was found."""
+    def step(s: Column) -> Column:
+        n = F.regexp_count(s["text"], F.lit(pattern))
+        found = F.concat(s["labels"], F.array(F.concat(F.lit(label + " ×"), n.cast("string"))))
+        return F.struct(F.regexp_replace(s["text"], pattern, repl).alias("text"), F.when(n > 0, found).otherwise(s["labels"]).alias("labels"))
+    return step
+
+
 def phrase_labels(c: Column) -> Column:
-    """``label ×n`` for every fix that applied to the string, in order."""
-    cur, labels = c, []
-    for pattern, repl, label in R.PHRASE_FIXES:
-        n = F.regexp_count(cur, F.lit(pattern))
-        labels.append(F.when(n > 0, F.concat(F.lit(label + " ×"), n.cast("string"))))
-        cur = F.regexp_replace(cur, pattern, repl)
-    return F.filter(F.array(*labels), lambda x: x.isNotNull())
+    """``label ×n`` for every fix that applied to the string, in order; each fix is applied once. None for null."""
+    state = F.struct(c.alias("text"), F.array().cast("array<string>").alias("labels"))
+    for fix in R.PHRASE_FIXES:
+        state = E.let(state, _fix_and_label(*fix))
+    return state["labels"]
 
 
 def _string_leaves(field: T.StructField) -> Column | None:
@@ -574,12 +581,13 @@ def conform_drawing_prefix(records: DataFrame, prefixes: DataFrame) -> DataFrame
 
     ``prefixes`` is (customer, ordinal, prefix). A customer without prefixes
     takes those of the customer whose prefix starts the part number, in
-    dimension order. Adds ``prefix_finding`` and ``prefix_used``.
+    dimension order. Records without customer or part number match no row by it
+    and are spread. Adds ``prefix_finding`` and ``prefix_used``.
     """
     by_customer = prefixes.groupBy(F.upper("customer").alias("_cust")).agg(
         F.sort_array(F.collect_list(F.struct("ordinal", "prefix"))).alias("_own"), F.min("ordinal").alias("_first")
     )
-    df = records.withColumn("_cust", F.upper(E.strip(F.col("customer"))))
+    df = records.withColumn("_cust", E.join_key(F.upper(E.strip(F.col("customer")))))
     df = df.join(by_customer.select("_cust", "_own"), "_cust", "left")
     # prefixes implied by the part number: every leading substring is an equi-join key
     pn = E.key(F.col("part_number"))
@@ -591,7 +599,7 @@ def conform_drawing_prefix(records: DataFrame, prefixes: DataFrame) -> DataFrame
         .join(by_customer, "_cust")
         .groupBy("_pn").agg(F.min_by("_own", "_first").alias("_implied"))
     )
-    df = df.withColumn("_pn", pn).join(implied, "_pn", "left")
+    df = df.withColumn("_pn", E.join_key(pn)).join(implied, "_pn", "left")
     dwg = E.strip(F.col("drawing_number"))
     up = F.upper(dwg)
     df = df.withColumn("_list", F.transform(F.coalesce("_own", "_implied"), lambda p: F.upper(p["prefix"])))

@@ -333,16 +333,24 @@ def link_overview_items(balloons: DataFrame, drawings: DataFrame, bom: DataFrame
 
 
 # ------------------------------------------------------------------ V14, V15
+#: Step lists that may hold marking instructions.
+MARKING_STEPS = ["machining_processes", "additional_processes", "inspection_processes", "final_approval"]
+
+
 def marking_xref(drawings: DataFrame, edges: DataFrame, steps: list[str] | None = None) -> DataFrame:
     """V14 MARKING_PN_CROSS_REF: a marking instruction names neither the drawing's own number nor its parent's.
 
-    Scans the notes and, where present, the step lists given by ``steps``.
+    Scans the notes and the step lists ``steps``, by default those of ``MARKING_STEPS`` that ``drawings`` has. A null list
+    or step has no text; a text that names one number twice gives two rows.
     """
+    if steps is None:
+        steps = [c for c in MARKING_STEPS if c in drawings.columns]
     texts = [F.array(F.struct(F.lit("notes").alias("source"), _S("notes").alias("text")))]
-    for c in steps or []:
-        texts.append(F.transform(c, lambda s: F.struct(
-            E.strip(s["step_no"]).alias("source"),
-            F.concat_ws(" ", *[F.coalesce(s[x], _blank()) for x in ("name_en", "name_he", "details")]).alias("text"))))
+    for c in steps:
+        found = F.transform(c, lambda s: F.struct(
+            F.coalesce(E.strip(s["step_no"]), _blank()).alias("source"),
+            F.concat_ws(" ", *[F.coalesce(s[x], _blank()) for x in ("name_en", "name_he", "details")]).alias("text")))
+        texts.append(F.coalesce(found, F.array().cast("array<struct<source:string,text:string>>")))
     marks = lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(p), 1) for p in R.MARK_PN])
     df = keyed(drawings).where("k <> ''").select(
         "batch_id", "record_id", "k", F.explode(F.concat(*texts)).alias("t"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from specmill import refdata as R
 from specmill.functions import exprs as E
 from specmill.operators import matching as M
+from specmill.operators import profile as P
 from specmill.operators import tree as T
 from specmill.plans.sqltext import check, distance, first_label, key, lit, lookalike, rx, stem, strip  # noqa: F401
-from specmill.sources import store
+from specmill.sources import store, writers
 from specmill.sources.adapter import Tables
 
 QUERIES = {}
@@ -135,13 +136,13 @@ SELECT record_id, pos, rank, master_id, score FROM rr WHERE rank <= 3"""
 @query("j3_match_catalog_compat", _j3_sql(False))
 def j3_compat(spark, sf):
     t = Tables(spark, sf)
-    return M.match_catalog(M.explode_coatings(t.records()), t.flat("catalog"), strict=False).select("record_id", "pos", "rank", "master_id", "score")
+    return M.match_catalog(M.explode_coatings(t.records()), t.flat("catalog"), strict=False, keep=store.materialise).select("record_id", "pos", "rank", "master_id", "score")
 
 
 @query("j3_match_catalog", _j3_sql(True))
 def j3(spark, sf):
     t = Tables(spark, sf)
-    return M.match_catalog(M.explode_coatings(t.records()), t.flat("catalog")).select("record_id", "pos", "rank", "master_id", "score")
+    return M.match_catalog(M.explode_coatings(t.records()), t.flat("catalog"), keep=store.materialise).select("record_id", "pos", "rank", "master_id", "score")
 
 
 @query("j3_catalog_details", "SELECT master_id, \"desc\", replace(full_name, '\\', ' | ') AS full_name FROM catalog")
@@ -365,6 +366,34 @@ def j6(spark, sf):
     return T.link_overview_items(t.flat("balloons"), t.drawings(), t.bom(), _final_edges(t))
 
 
+# --- S8: the export of all records and trees, committed twice under one name, and what is read back of it
+_EXPORT = " UNION ALL ".join(
+    [f"SELECT '{n}' AS table_name, CAST(sum(len({c})) AS BIGINT) AS n_rows FROM records" for n, c in
+     [("bom", "bom_items"), ("standards", "standards"), *[(c, c) for c in P.PROCESS_LISTS if c != "additional_processes"]]]
+    + ["SELECT 'summary', count(*) FROM records", "SELECT 'costs', count(*) + 1 FROM records", "SELECT 'tree', count(*) FROM tr",
+       "SELECT 'image_tree', count(*) FROM balloons l JOIN drawings d ON d.batch_id = l.batch_id AND d.record_id = l.parent_record_id",
+       "SELECT 'extras', CAST(sum(len(additional_processes) + (packaging_notes.en <> '' OR packaging_notes.he <> '')::INT + (trim(notes) <> '')::INT) AS BIGINT) FROM records"])
+
+
+@query("s8_committed_tables", f"""WITH {TREE}, listed AS ({_EXPORT})
+SELECT table_name, n_rows, n_rows AS n_read, CASE table_name WHEN 'tree' THEN (SELECT CAST(sum(level) AS BIGINT) FROM tr)
+  WHEN 'bom' THEN (SELECT CAST(sum(len(trim(i.part_number))) AS BIGINT) FROM (SELECT unnest(bom_items) AS i FROM records)) END AS content FROM listed""")
+def s8_committed(spark, sf):
+    t = Tables(spark, sf)
+    e = store.materialise(_final_edges(t), "edges")
+    tree = store.materialise(T.product_tree(t.drawings(), t.bom(), T.roots_of(e), e, store.materialise), "tree")
+    images = store.materialise(T.link_overview_items(t.flat("balloons"), t.drawings(), t.bom(), e), "image_tree")
+    tables, folder = P.export_table_set(t.records(), tree, images), store.new_path(spark, "export")
+    for _ in range(2):
+        writers.commit_table_set(tables, folder, "all")
+    sums = {"tree": F.sum("level"), "bom": F.sum(F.char_length(E.strip(F.col("part_number"))))}
+    out = None
+    for name, df in writers.read_table_set(spark, folder, "all").items():
+        one = df.agg(F.count("*").alias("n_read"), sums.get(name, F.lit(None)).cast("bigint").alias("content")).withColumn("table_name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return writers.committed_tables(spark, folder).join(out, "table_name").select("table_name", "n_rows", "n_read", "content")
+
+
 # --- V14, V15, U3
 @query("v14_marking_xref", f"""WITH {EDGES},
 pa AS (SELECT batch_id, upper(child_pn) AS k, arg_max(upper(parent_pn), (root_pos, pos)) AS parent FROM ed WHERE parent_pn <> '' GROUP BY 1, 2),
@@ -376,6 +405,25 @@ def v14(spark, sf):
     return T.marking_xref(t.drawings(), _edges(t))
 
 
+# process steps made of each drawing's own columns: one names its drawing number, one its own number, one another part
+_STEPS = {"machining_processes": ("10.3", "title", "'MARK PART NUMBER ' || drawing_number || '.'"),
+          "inspection_processes": ("60.2", "''", "'marking pn: ' || part_number"),
+          "final_approval": ("70.4", "'MARK P/N: X' || record_id", "quantity")}
+
+
+@query("v14_marking_steps", f"""WITH {EDGES},
+pa AS (SELECT batch_id, upper(child_pn) AS k, arg_max(upper(parent_pn), (root_pos, pos)) AS parent FROM ed WHERE parent_pn <> '' GROUP BY 1, 2),
+tx AS (SELECT batch_id, record_id, {key('part_number')} AS k, 'notes' AS source, notes AS text FROM drawings
+{' '.join(f"UNION ALL SELECT batch_id, record_id, {key('part_number')}, '{no}', concat_ws(' ', coalesce({name}, ''), '', coalesce({details}, '')) FROM drawings" for no, name, details in _STEPS.values())}),
+mk AS (SELECT batch_id, record_id, k, source, rtrim(upper(trim(unnest(list_concat({', '.join(f"regexp_extract_all(text, {lit(p)}, 1)" for p in R.MARK_PN)})))), '.,;:') AS value FROM tx WHERE k <> '')
+SELECT mk.batch_id, record_id, 'MARKING_PN_CROSS_REF' AS type, 'INFO' AS severity, source, value FROM mk LEFT JOIN pa ON pa.batch_id = mk.batch_id AND pa.k = mk.k
+WHERE length(value) >= 5 AND value <> mk.k AND (pa.parent IS NULL OR pa.parent <> value)""")
+def v14_steps(spark, sf):
+    t = Tables(spark, sf)
+    step = lambda no, name, details: F.array(F.struct(F.lit(no).alias("step_no"), F.expr(name).alias("name_en"), F.lit("").alias("name_he"), F.expr(details).alias("details")))
+    return T.marking_xref(t.drawings().withColumns({c: step(*s) for c, s in _STEPS.items()}), _edges(t))
+
+
 INTEGRITY = f"""{ROOTS},
 bt AS (SELECT DISTINCT batch_id FROM drawings), nn AS (SELECT bt.batch_id, count(DISTINCT parent_record_id) AS n, max(upper(parent_pn)) AS root_pn FROM bt LEFT JOIN e7 USING (batch_id) GROUP BY 1),
 ca AS (SELECT d.batch_id, d.record_id FROM drawings d JOIN nn USING (batch_id) WHERE nn.n = 1 AND d.assembly_role = 'ASSEMBLY'

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,37 @@ def write_table_set(tables: dict[str, DataFrame], folder: str, single: bool = Fa
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def commit_table_set(tables: dict[str, DataFrame], folder: str, save_id: str, single: bool = False) -> None:
+    """S8 under one commit: the tables below ``folder/save_id``, and, once all are there, their list with row counts.
+
+    The counts are observed while the tables are written, so no table is read twice. The list is written last: a job that
+    fails leaves none, its tables are not read by ``read_table_set``, and the same save run again replaces them.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    listed = []
+    for name, df in tables.items():
+        if single and name in ("tree", "image_tree"):
+            continue
+        seen = Observation(f"rows of {name}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{save_id}/{name}")
+        listed.append((save_id, name, int(seen.get.get("n", 0))))
+    done = spark.createDataFrame(listed, "save_id string, table_name string, n_rows long").coalesce(1)
+    _save(done.drop("save_id"), f"{folder}/_commits", "parquet", save_id)
+
+
+def committed_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(save_id, table_name, n_rows) of every committed table."""
+    return spark.read.schema("table_name string, n_rows long, save_id string").parquet(f"{folder}/_commits")
+
+
+def read_table_set(spark: SparkSession, folder: str, save_id: str) -> dict[str, DataFrame]:
+    """The tables of a commit by name; a save that was not committed raises ``ValueError``."""
+    names = [r.table_name for r in committed_tables(spark, folder).where(F.col("save_id") == save_id).collect()]
+    if not names:
+        raise ValueError(f"no commit {save_id!r} in {folder}")
+    return {n: spark.read.parquet(f"{folder}/{save_id}/{n}") for n in names}
+
+
 def flagged_rows(findings: DataFrame, files: DataFrame) -> DataFrame:
     """(file, flagged_standard) with commas replaced."""
     return findings.join(files.select("record_id", F.col("source_filename").alias("file")), "record_id").select(

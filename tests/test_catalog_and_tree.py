@@ -45,6 +45,25 @@ def test_candidates_equal_all_pairs(spark):
     assert {k: sorted(v)[:3] for k, v in want.items()} == {k: [v[i] for i in sorted(v)] for k, v in got.items()}
 
 
+def test_levels_meet_each_pair_once_and_stop(spark):
+    coats = _coats(spark, *[("ZINC", "", "ZINC YELLOW", "ASTM B633 TYPE II", "5-10 mic", True)] * 3, ("ZINC", "", "", "", "", False))
+    cat = _catalog(spark, *[("YELLOW ZINC RoHS", "ASTM B633 TYPE II", t) for t in ("5-10 mic", "5-11 mic", "5-12 mic")], ("ZINC", "", ""), ("NICKEL", "ASTM B633", ""))
+    whole = F.to_json(F.struct(*M._FEATURES))
+    left = M._distinct_features(M.coating_features(coats).withColumn("combo", whole), True)
+    right = M._distinct_features(M.catalog_features(cat).withColumn("combo", whole), False)
+    pairs = [(r.a.combo, r.b.combo) for level in M._LEVELS for r in M.catalog_candidates(left, right, level).collect()]
+    assert len(pairs) == len(set(pairs)) == 9
+    used = []
+    find = M.catalog_candidates
+    M.catalog_candidates = lambda a, b, level: used.append(a.count()) or find(a, b, level)
+    try:
+        got = M.match_catalog(coats, cat, keep=store.materialise).collect()
+    finally:
+        M.catalog_candidates = find
+    # the full coating stops after level 1; the plain one has nothing but its kind, so level 3 cannot add to level 2
+    assert used == [2, 1, 0] and len(got) == 12
+
+
 DRAWINGS = "batch_id string, pos bigint, record_id string, source_filename string, part_number string, drawing_number string, assembly_role string, title string, material string, quantity string, notes string"
 BOM = "batch_id string, parent_record_id string, parent_pos bigint, pos bigint, item_no string, part_number string, description string, qty string"
 

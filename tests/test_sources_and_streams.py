@@ -65,6 +65,13 @@ def test_dimensions(spark, tmp_path):
     merged = D.merge_dimensions(dims, ch)
     r = D.dimension_rollup(merged).collect()
     assert [(x.customer, x.cage, x.default_cage, x.alias, x.pn_prefix) for x in r] == [("M Ltd.", "2B22B", "2B22B", "M", "")]
+    # a change that leaves invalid rows, or a pattern that does not compile, is refused; a valid one is kept
+    change = lambda cage, pattern: spark.createDataFrame([("upsert", "M Ltd.", "", [cage], cage, ["m"], [], [pattern])], ch.schema)
+    kept = D.update_dimensions(dims, change("3C33C", "^M[0-9]+"), store.materialise)
+    assert {r.cage for r in kept["cage"].where("customer = 'M Ltd.'").collect()} == {"3C33C"}
+    for cage, pattern in (("TOO-LONG-CAGE", "^M"), ("3C33C", "([")):
+        with pytest.raises(ValueError):
+            D.update_dimensions(dims, change(cage, pattern), store.materialise)
 
 
 def test_catalog_and_manifest(spark, tmp_path):
@@ -92,6 +99,23 @@ def test_export_and_writers(spark, records, tmp_path):
     assert (tmp_path / "x" / "bom").exists() and not (tmp_path / "x" / "tree").exists()
 
 
+def test_table_sets_are_committed_whole(spark, tmp_path):
+    ids = lambda n: spark.range(n)
+    folder = str(tmp_path / "x")
+    tables = {"bom": ids(3), "tree": ids(0), "image_tree": ids(2)}
+    for _ in range(2):
+        writers.commit_table_set(tables, folder, "a")
+    writers.commit_table_set(tables, folder, "b", single=True)
+    bad = ids(2).select(F.raise_error(F.lit("broken")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        writers.commit_table_set({"bom": ids(1), "tree": bad}, folder, "c")
+    assert {tuple(r) for r in writers.committed_tables(spark, folder).select("save_id", "table_name", "n_rows").collect()} == {
+        ("a", "bom", 3), ("a", "tree", 0), ("a", "image_tree", 2), ("b", "bom", 3)}
+    assert {k: v.count() for k, v in writers.read_table_set(spark, folder, "a").items()} == {"bom": 3, "tree": 0, "image_tree": 2}
+    with pytest.raises(ValueError):
+        writers.read_table_set(spark, folder, "c")
+
+
 def test_streams(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "stored")
     src.mkdir()
