@@ -141,7 +141,7 @@ def kept_powers(base: int, n: int) -> np.ndarray:
     """The first n powers; a worker keeps the first 2 million of each base (16 MB), whatever it works on later."""
     if n > 2 << 20:
         return powers(base, n)
-    if len(_KEPT.get(base, ())) < n:
+    if base not in _KEPT or len(_KEPT[base]) < n:
         _KEPT[base] = powers(base, min(max(n, 1 << 16) * 2, 2 << 20))
     return _KEPT[base][:n]
 
