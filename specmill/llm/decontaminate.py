@@ -100,6 +100,7 @@ def _passages(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, lis
     return out, sorted(shorts)
 
 
+@shared.apart("doc_id", "text")
 def annotate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "decon") -> DataFrame:
     """``docs`` with a struct ``out``: n_words, n_hit, items (ids as sorted strings), runs (start, end of common runs, by words).
 

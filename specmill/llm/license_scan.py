@@ -1,9 +1,11 @@
 """License scans by a positional index of rare words.
 
 Templates (licence phrases with the places of their mandatory key words) give postings word -> (template, place). The
-highest-IDF words of each template, by document frequency over the whole corpus, are its anchors: their occurrences in a
-document are looked up, turned into starts by their places, and a start on which all anchors agree is a candidate. The
-key words of a candidate are then verified, one equi-join on (row, place, word); the share of IDF mass found is its score.
+highest-IDF key words of each template, by document frequency over the whole corpus, are its anchors. A text that holds the
+key holds all its words, so these are also the rarest of that template's key words in the file: no label hangs on words
+outside the key. Their occurrences in a document are looked up, turned into starts by their places, and a start on which
+all anchors agree is a candidate. The key words of a candidate are then verified, one equi-join on (row, place, word); the
+share of IDF mass found, over all words of the template, is its score.
 
 Only DataFrame functions. Defined results: null and empty texts have no words, no labels and score 0; repeated rows get
 equal results; an empty table gives an empty result; further columns are carried along, one named like the result is
@@ -32,7 +34,7 @@ MORE = [
     ("cc0", "cc0 1 0 universal", 1),
     ("copyright", "copyright notice", 2),
 ]
-#: Anchors of a template.
+#: Anchors of a template, chosen among its key words.
 ANCHORS = 2
 
 
@@ -45,6 +47,7 @@ def templates(spark: SparkSession, base=BASE, more=MORE) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, base boolean, rel int, word string, key boolean, n_words int")
 
 
+@shared.apart("doc_id", "text")
 def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base=BASE, more=MORE, out: str = "licences") -> DataFrame:
     """``docs`` with a struct ``out``: n_words, n_base, first_word, last_word, base_labels, labels, score, places.
 
@@ -64,8 +67,8 @@ def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base=B
     weights = post.join(df, "word", "left").withColumn("idf", idf).drop("df")
     weights = shared.written(weights.coalesce(1), folder, "weights")
     rank = W.partitionBy("template").orderBy(F.desc("idf"), "rel")
-    anchors = weights.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= ANCHORS)
-    anchors = anchors.select("template", "rel", "word", F.least(F.col("n_words"), F.lit(ANCHORS)).alias("wanted"))
+    anchors = weights.where("key").withColumn("r", F.row_number().over(rank)).withColumn("wanted", F.count("*").over(W.partitionBy("template")))
+    anchors = anchors.where(F.col("r") <= ANCHORS).select("template", "rel", "word", F.least(F.col("wanted"), F.lit(ANCHORS)).alias("wanted"))
     starts = seen.join(F.broadcast(anchors), "word").select("_k", "template", (F.col("pos") - F.col("rel")).alias("start"), "rel", "wanted")
     starts = starts.groupBy("_k", "template", "start", "wanted").agg(F.count("*").alias("votes")).where("votes = wanted and start >= 0").drop("votes", "wanted")
     full = starts.join(F.broadcast(weights), "template").withColumn("pos", F.col("start") + F.col("rel"))
@@ -93,9 +96,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    values = ", ".join(f"({i}, '{label}', {i < len(BASE)}, {key}, string_split('{p}', ' '))" for i, (label, p, key) in enumerate([*BASE, *MORE]))
+    more = ", ".join(f"({i}, '{label}', false, {key}, string_split('{p}', ' '))" for i, (label, p, key) in enumerate(MORE, 3))
     return rf"""
-WITH t(template, label, base, key, p) AS (VALUES {values}),
+WITH t(template, label, base, key, p) AS (VALUES (0, 'cc-by', true, 2, ['cc', 'by']), (1, 'gpl', true, 3, ['general', 'public', 'license']),
+  (2, 'reserved', true, 3, ['all', 'rights', 'reserved']), {more}),
 d AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
@@ -103,9 +107,9 @@ tw AS (SELECT template, label, base, key, len(p) AS n, rel - 1 AS rel, p[rel] AS
 occ AS MATERIALIZED (SELECT doc_id, w[i] AS word, i - 1 AS pos FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i] IN (SELECT word FROM tw)),
 df AS (SELECT word, count(DISTINCT doc_id) AS df FROM occ GROUP BY word),
 idf AS MATERIALIZED (SELECT tw.*, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(df, 0) + 1)) + 1e-6 AS idf FROM tw LEFT JOIN df USING (word)),
-anchor AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY idf DESC, rel) AS r FROM idf) WHERE r <= {ANCHORS}),
+anchor AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY idf DESC, rel) AS r FROM idf WHERE rel < key) WHERE r <= {ANCHORS}),
 cand AS (SELECT doc_id, template, st FROM (
-    SELECT doc_id, template, pos - a.rel AS st, count(*) AS votes, min(a.n) AS n FROM occ JOIN anchor a ON occ.word = a.word GROUP BY doc_id, template, pos - a.rel)
+    SELECT doc_id, template, pos - a.rel AS st, count(*) AS votes, min(a.key) AS n FROM occ JOIN anchor a ON occ.word = a.word GROUP BY doc_id, template, pos - a.rel)
   WHERE votes = least({ANCHORS}, n) AND st >= 0),
 seen AS (SELECT c.doc_id, c.template, i.label, i.base, c.st AS start, bool_and(o.pos IS NOT NULL OR i.rel >= i.key) AS good,
     sum(CASE WHEN o.pos IS NULL THEN 0 ELSE i.idf END) / sum(i.idf) AS share

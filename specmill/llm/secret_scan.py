@@ -89,6 +89,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return found.withColumn("_keep", keep).where("_keep").drop("_keep")
 
 
+@shared.apart("doc_id", "text")
 def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE, out: str = "secrets") -> DataFrame:
     """``docs`` with an array ``out`` of structs (start, order, kind, end), sorted; the spans of one row meet in that row."""
     docs = docs.drop(out)

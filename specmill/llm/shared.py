@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import string
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,29 @@ def row_key(ident: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(ident), F.col(text))
 
 
+def apart(*named: str) -> Callable:
+    """Runs an operator on input columns renamed to names of their own, so that none can clash with its inner columns.
+
+    ``named`` are its parameters that hold column names. The input's columns come back under their names, before the results;
+    a column named like a result is replaced.
+    """
+    def wrap(operator: Callable) -> Callable:
+        @functools.wraps(operator)
+        def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+            call = inspect.signature(operator).bind(df, *args, **kwargs)
+            call.apply_defaults()
+            inner = [f"in{i}_" for i in range(len(df.columns))]
+            own = dict(zip((c.lower() for c in df.columns), inner))
+            call.arguments.update({p: own[call.arguments[p].lower()] for p in named})
+            call.arguments[next(iter(call.arguments))] = df.toDF(*inner)
+            out, back = operator(*call.args, **call.kwargs), dict(zip(inner, df.columns))
+            results = [c for c in out.columns if c not in back]
+            taken = {c.lower() for c in results}
+            return out.select(*[F.col(c).alias(back[c]) for c in inner if c in out.columns and back[c].lower() not in taken], *results)
+        return run
+    return wrap
+
+
 def empty_array(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 

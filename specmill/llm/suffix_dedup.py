@@ -450,6 +450,7 @@ def met_windows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "k long, cover binary")
 
 
+@shared.apart("doc_id", "text")
 def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte runs), and ``kept`` (bytes) on demand."""
     spark = docs.sparkSession

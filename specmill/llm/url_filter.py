@@ -73,6 +73,7 @@ def fit(table: DataFrame):
     return LogisticRegression(featuresCol="_tf", labelCol="label", regParam=0.01, maxIter=60, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_label").fit(hashed)
 
 
+@shared.apart("url")
 def annotate(pages: DataFrame, url: str = "url", rules=RULES, table: DataFrame | None = None) -> DataFrame:
     """``pages`` with host, path, rule, verdict, score (probability of block by the model)."""
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]

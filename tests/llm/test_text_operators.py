@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from specmill.llm import decontaminate, jaccard_join, license_scan, packing, secret_scan, suffix_dedup
+from specmill.llm import decontaminate, jaccard_join, license_scan, packing, secret_scan, suffix_dedup, url_filter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,6 +92,26 @@ def brute_base(t):
     return sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(kinds) for m in re.finditer(p, t or "") if len(m[g]) >= n)
 
 
+def test_licence_labels_hang_on_the_key_alone(spark):
+    texts = ["permission is hereby granted free of charge to somebody", "cc0", "apache license, some other version", "general public", "cc by"]
+    rows = license_scan.annotate(docs_of(spark, texts, "other")).orderBy("doc_id").select("licences.*").collect()
+    assert [r.labels for r in rows] == [["mit-grant"], ["cc0"], ["apache-2.0"], [], ["cc-by"]]
+    assert all(0 <= r.score <= 1 for r in rows) and rows[0].score < 1 and rows[4].score == 1
+
+
+@pytest.mark.parametrize("operator", ["suffix_dedup", "license_scan", "secret_scan", "decontaminate", "url_filter"])
+def test_no_column_of_the_input_clashes(spark, operator):
+    names = ["k", "_k", "_n", "_p", "_tf", "_x", "_runs", "_hits", "_text", "_cover", "_host", "n_base", "anchor", "pos", "word", "left", "spans_", "in0_", "DOC"]
+    rows = [(i, t, *[f"{c} {i}" for c in names]) for i, t in enumerate([None, "", "all rights reserved password=abcdefgh https://a.b/c", "x" * 300])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    run = {"suffix_dedup": suffix_dedup.annotate, "license_scan": license_scan.annotate, "secret_scan": secret_scan.annotate,
+           "decontaminate": lambda d: decontaminate.annotate(d, spark.createDataFrame([("i", "all rights reserved")], "item_id string, text string")),
+           "url_filter": lambda d: url_filter.annotate(d, "text")}[operator]
+    got = run(df)
+    assert got.columns[:len(df.columns)] == df.columns and len(got.columns) > len(df.columns)
+    assert sorted(map(tuple, got.select(df.columns).collect())) == rows
+
+
 def test_secret_scan(spark):
     key, hexes = "AKIA" + "Q7" * 8, "0123456789abcdef" * 2
     texts = [None, "", f"é🙂 password={hexes} x", f"{key} {key}", "secret=token:abcdefgh", "API_KEY : 'abc.def=' token=short", "x" * 50000 + f" passwd='{hexes}'",
