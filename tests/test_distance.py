@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from specmill import refdata as R
@@ -117,3 +118,14 @@ def test_digits_only_identifiers_share_no_key(spark):
     for keys in (D.left_keys, D.right_keys):
         most = ids.select(F.explode(keys(F.col("pn"))).alias("e")).groupBy("e.k").count().agg(F.max("count")).first()[0]
         assert most <= 300
+
+
+def test_small_batches_meet_without_keys(spark, monkeypatch):
+    left = spark.createDataFrame([("s", "BP1O1A"), ("l", "BP1O1A"), ("s", "XX")], "batch_id string, pn string")
+    small = [("s", "BP101A"), ("s", "QQ99")]
+    want = {("s", "BP1O1A", "BP101A", 1)}
+    many = [("l", "BP101A")] + [("l", f"ZZ{i:05d}") for i in range(M.CROWDED)]
+    rows = lambda right: {tuple(r) for r in M.nearest_identifier(left, spark.createDataFrame(right, "batch_id string, pn string")).collect()}
+    assert rows(small + many) == want | {("l", "BP1O1A", "BP101A", 1)}
+    monkeypatch.setattr(M, "_meet_by_keys", lambda *a: pytest.fail("keys for small batches"))
+    assert rows(small) == want
