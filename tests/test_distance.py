@@ -129,3 +129,7 @@ def test_small_batches_meet_without_keys(spark, monkeypatch):
     assert rows(small + many) == want | {("l", "BP1O1A", "BP101A", 1)}
     monkeypatch.setattr(M, "_meet_by_keys", lambda *a: pytest.fail("keys for small batches"))
     assert rows(small) == want
+
+
+def test_identifier_forms_name_their_column_once():
+    assert str(E.key(F.col("qqq"))).count("qqq") == 1
