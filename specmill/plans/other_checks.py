@@ -332,6 +332,8 @@ def x1(spark, sf):
     out = store.new_path(spark, "x1")
     _in_turn(spark, t.source("part"), "p_partkey", 2, out + "/in")
     source = spark.readStream.schema(t.source("part").schema).option("maxFilesPerTrigger", 1).parquet(out + "/in")
+    # a micro-batch is one small file, so one task: its rows are dealt out before they become wide records
+    source = source.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     records = t.typed_records(t.project(source, FLAT["records"][1]))
     repair = lambda df: N.reconcile_identifiers(N.identifier_candidates(df))
     jobs.new_records(records, out + "/table", out + "/checkpoint", ["part_number", "revision"], repair, F.col("record_id")).awaitTermination()

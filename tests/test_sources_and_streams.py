@@ -206,3 +206,18 @@ def test_rows_of_a_file_read_in_blocks_keep_its_order(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [f"ms.{i}" for i in range(500)]
+
+
+def test_records_of_one_file_are_dealt_out_before_they_are_wide(spark, monkeypatch):
+    from specmill.plans import other_checks
+
+    class Seen(Exception):
+        pass
+
+    def look(records, *args, **kwargs):
+        assert "Repartition 4, true" in records._jdf.queryExecution().analyzed().toString()
+        raise Seen
+
+    monkeypatch.setattr(other_checks.jobs, "new_records", look)
+    with pytest.raises(Seen):
+        other_checks.x1(spark, "/root/testdata/sf0.001")
