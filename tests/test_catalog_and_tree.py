@@ -7,6 +7,7 @@ from specmill.operators import compare as C
 from specmill.operators import matching as M
 from specmill.operators import profile as P
 from specmill.operators import tree as T
+from specmill.plans import pipeline
 from specmill.sources import store
 from specmill.sources.adapter import Tables
 
@@ -200,3 +201,26 @@ def test_edges_are_made_once(spark):
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(got) == rows(want)
     assert list(kept) == ["children_of_several"] and kept["children_of_several"].count() < bom.count() / 2
+
+
+def test_batch_pipeline_makes_what_is_asked(spark):
+    """Edges are written once, with their texts repaired; states and BOM items only if the integrity is asked for."""
+    d = spark.createDataFrame(
+        [("b", 0, "a1", "1SO1 TOP", "D1", "ASSEMBLY", "", "A", "1", "f.pdf", ""), ("b", 1, "a2", "BP2", "D2", "ASSEMBLY", "", "B", "1", "g.pdf", ""),
+         ("b", 2, "p", "BP3", "D3", "PART", "STEEL", "P", "2", "h.pdf", ""), ("c", 1, "x", "BP9", "D9", "PART", "AL", "X", "", "x.pdf", ""),
+         ("c", 2, "y", "bp9", "D8", "PART", "CU", "Y", "3", "y.pdf", "")],
+        "batch_id string, pos int, record_id string, part_number string, drawing_number string, assembly_role string, material string, title string, quantity string, source_filename string, notes string")
+    bom = spark.createDataFrame(
+        [("b", "a1", 0, 0, "1", "BP2", "BBO", "4"), ("b", "a2", 1, 0, "1", "BP3", "late", "9"), ("b", "a1", 0, 1, "2", "1SO7", "BOLT", "8")],
+        "batch_id string, parent_record_id string, parent_pos int, pos int, item_no string, part_number string, description string, qty string")
+    names = []
+    keep = lambda df, name: names.append(name) or store.materialise(df, name)
+    got = pipeline.process_batches(d, bom, keep, ("tree", "edges"))
+    assert list(got) == ["tree", "edges"] and not {"states", "bom_items", "shown_edges"} & set(names) and names.count("edges") == 1
+    assert {(r.parent_pn, r.child_pn, r.description) for r in got["edges"].collect()} == {("ISO1 TOP", "BP2", "BB0"), ("ISO1 TOP", "ISO7", "BOLT")}
+    rows = sorted((r.level, r.part_number, r.qty, r.material) for r in got["tree"].where("batch_id = 'c'").collect())
+    assert rows == [(0, "BP9", "1", "AL"), (0, "bp9", "3", "CU")]  # one identifier, two stand-alone drawings
+    given = T.product_tree(d, bom, T.roots_of(got["edges"]), got["edges"], store.materialise)
+    none = T.product_tree(d, bom, None, got["edges"], store.materialise)
+    assert sorted(map(str, given.collect())) == sorted(map(str, none.collect()))
+    assert set(pipeline.process_batches(d, bom, keep)) == set(pipeline.BATCH_TABLES) and "states" in names
