@@ -7,6 +7,7 @@ from specmill import schemas
 from specmill.operators import dimensions as D
 from specmill.operators import ledger as L
 from specmill.sources import readers, store, writers
+from specmill.sources.adapter import Tables
 from specmill.streaming import jobs
 
 
@@ -221,3 +222,13 @@ def test_records_of_one_file_are_dealt_out_before_they_are_wide(spark, monkeypat
     monkeypatch.setattr(other_checks.jobs, "new_records", look)
     with pytest.raises(Seen):
         other_checks.x1(spark, "/root/testdata/sf0.001")
+
+
+def test_records_are_dealt_out_before_they_grow(spark, tmp_path):
+    """A small file of parts is one task; the records made of it are not, even where filters on their texts are pushed down."""
+    spark.range(1, 41).selectExpr("id AS p_partkey", "'x' AS p_name", "'t' AS p_type", "'b' AS p_brand", "CAST(1 AS INT) AS p_size",
+                                  "CAST(1 AS DECIMAL(15,2)) AS p_retailprice").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    t = Tables(spark, str(tmp_path))
+    spread = t.records().select(F.explode("standards").alias("s"), F.spark_partition_id().alias("p"))
+    assert spread.select("p").distinct().count() > 1 and t.records().count() == 40
+    assert {r.record_id for r in t.second_run().collect()} == {f"R{k:010d}" for k in range(1, 41)}
