@@ -146,7 +146,9 @@ _TEMPLATES = tuple(t.upper() for t in R.PACKING_TEMPLATES)
 @F.pandas_udf(T.DoubleType())
 def _best_template_ratio(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in parts:
-        yield batch.map(lambda s: None if s is None else max(SequenceMatcher(None, s, t).ratio() for t in _TEMPLATES)).astype("float64")
+        # packing notes recur: each text of a batch is compared once
+        done = {s: max(SequenceMatcher(None, s, t).ratio() for t in _TEMPLATES) for s in {s for s in batch if s is not None}}
+        yield batch.map(lambda s: None if s is None else done[s]).astype("float64")
 
 
 def packing_text() -> Column:

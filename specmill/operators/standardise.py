@@ -358,7 +358,9 @@ def collapse_repeats(text: str, min_repeat: int = 3) -> str:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _collapse_all(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in parts:
-        yield batch.map(lambda a: None if a is None else [collapse_repeats(t) for t in a])
+        # descriptions recur: each text of a batch is collapsed once
+        done = {t: collapse_repeats(t) for t in {t for a in batch if a is not None for t in a}}
+        yield batch.map(lambda a: None if a is None else [done[t] for t in a])
 
 
 def clean_bom_text(records: DataFrame) -> DataFrame:

@@ -232,3 +232,25 @@ def test_records_are_dealt_out_before_they_grow(spark, tmp_path):
     spread = t.records().select(F.explode("standards").alias("s"), F.spark_partition_id().alias("p"))
     assert spread.select("p").distinct().count() > 1 and t.records().count() == 40
     assert {r.record_id for r in t.second_run().collect()} == {f"R{k:010d}" for k in range(1, 41)}
+
+
+def test_recurring_descriptions_are_collapsed_once(monkeypatch):
+    import pandas as pd
+
+    from specmill.operators import standardise as N
+
+    seen, real = [], N.collapse_repeats
+    monkeypatch.setattr(N, "collapse_repeats", lambda t: seen.append(t) or real(t))
+    got = list(N._collapse_all.func(iter([pd.Series([["A A A", "B"], None, [], ["A A A", None]])])))[0]
+    assert got.tolist() == [["A", "B"], None, [], ["A", ""]] and sorted(seen, key=str) == ["A A A", "B", None]
+
+
+def test_recurring_packing_notes_are_compared_once(monkeypatch):
+    import pandas as pd
+
+    from specmill.operators import rules as V
+
+    seen, real = [], V.SequenceMatcher
+    monkeypatch.setattr(V, "SequenceMatcher", lambda a, s, t: seen.append(s) or real(a, s, t))
+    got = list(V._best_template_ratio.func(iter([pd.Series([V._TEMPLATES[0], None, "QWZX", V._TEMPLATES[0]])])))[0]
+    assert got[0] == got[3] == 1.0 and pd.isna(got[1]) and len(seen) == 2 * len(V._TEMPLATES)
