@@ -1,9 +1,12 @@
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from specmill import schemas
+from specmill.functions import md5
 from specmill.operators import dimensions as D
 from specmill.operators import ledger as L
 from specmill.sources import readers, store, writers
@@ -89,6 +92,39 @@ def test_catalog_and_manifest(spark, tmp_path):
     assert m == {"a.pdf": ("pdf", ""), "b.pdf": ("pdf", "bad_magic"), "c.PNG": ("image", ""), "big.pdf": ("pdf", "too_large")}
 
 
+def test_manifest_of_long_files(spark, tmp_path):
+    r = random.Random(5)
+    bom, body = b"\xef\xbb\xbf", r.randbytes(20000)
+    made = {"a b%20.pdf": b"%PDF-" + body, "bad.pdf": b"P\n\nK" + body, "end.png": body + b"\n", "bom.bin": bom + body, "bom_end.bin": bom + bom + body + b"\n",
+            "ends.bin": b"\n" * 20000, "cr.bin": b"a\r\n\r" * 5000, "no_end.bin": bytes(20000), "edge.bin": body[:8192], "edge1.bin": body[:8193], "short.pdf": b"%PDF"}
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    # no row may hold more than 8192 bytes of a file, as none can hold more than 2 GB
+    confs = {"spark.sql.sources.binaryFile.maxLength": "8192", "spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "100"}
+    old = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = readers.file_manifest(spark, str(tmp_path), 20005, whole_bytes=8192).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {x.source_filename: (x.length, x.fingerprint, x.magic) for x in got} == {k: (len(v), hashlib.md5(v).hexdigest(), v[:5]) for k, v in made.items()}
+    assert len(got) == len(made)
+    assert {x.source_filename: x.rejected for x in got if x.rejected} == {"bom_end.bin": "too_large", "bad.pdf": "bad_magic", "short.pdf": "bad_magic"}
+
+
+def test_md5_taken_up_again():
+    r = random.Random(6)
+    for step in (md5.update, md5._update):
+        for n in (0, 55, 56, 63, 64, 65, 120, 1000):
+            data, state, at = r.randbytes(n), md5.START, 0
+            while at < n:
+                k = r.randint(1, 150)
+                state, at = step(state, data[at:at + k]), at + k
+            assert (md5.n_bytes(state), md5.hexdigest(state)) == (n, hashlib.md5(data).hexdigest())
+
+
 def test_export_and_writers(spark, records, tmp_path):
     df = records({"part_number": "P", "standards": ["A,B"]})
     writers.write_records(df.drop("_user_edits"), str(tmp_path / "r"), relationships=df.select("batch_id", "part_number"))
