@@ -1,13 +1,15 @@
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from specmill.functions import exprs as E
 from specmill.operators import compare as C
 from specmill.operators import matching as M
 from specmill.operators import profile as P
 from specmill.operators import tree as T
-from specmill.plans import pipeline
+from specmill.plans import pipeline, registry
 from specmill.sources import store
 from specmill.sources.adapter import Tables
 
@@ -224,3 +226,58 @@ def test_batch_pipeline_makes_what_is_asked(spark):
     none = T.product_tree(d, bom, None, got["edges"], store.materialise)
     assert sorted(map(str, given.collect())) == sorted(map(str, none.collect()))
     assert set(pipeline.process_batches(d, bom, keep)) == set(pipeline.BATCH_TABLES) and "states" in names
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was_set = shuffles(), spark.conf.get(name)
+    got = store.materialise(spark.range(1000).selectExpr("id % 7 AS k", "id").repartition(5, "id").groupBy("k").count(), "counts")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(name) == was_set
+    assert got.count() == 7
+
+
+def test_strip_of_written_columns(spark):
+    texts = [None, "", " ", "A", " A", "A ", "\u3000A\u00a0", "\tA B\n", "\x85", "A\u2003", "\u00c9", "a\u00e9 ", "~", "!", "\x7fA", "A\x1f", "\u05d0\u05d1"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").select(E.strip(F.col("c")).alias("a"), E.strip_kept(F.col("c")).alias("b"), E.key_kept(F.col("c")).alias("k"))
+    assert all(r.a == r.b and r.k == r.a.upper() for r in df.collect())
+
+
+def test_tree_queries_derive_their_inputs_once(spark, monkeypatch):
+    """Line items are shuffled once for drawings and BOM, which are then read from files, however often the tree needs them."""
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no test tables")
+    names, new_path = [], store.new_path
+    monkeypatch.setattr(store, "new_path", lambda s, name: names.append(name) or new_path(s, name))
+    for query in ("j7_demote_nested_roots", "t1_tree_from_bom"):
+        spark.__dict__.pop("_specmill_plans", None)
+        names.clear()
+        plan = registry.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert names.count("tree_drawings") == names.count("tree_bom") == 1 and "row_number()" not in plan, query
+
+
+def test_steps_of_the_tree_are_written_apart(spark):
+    d, bom = _batch(spark)
+    d, bom, names = store.materialise(d, "d"), store.materialise(bom, "bom"), []
+    keep = lambda df, name: names.append(name) or store.materialise(df, name)
+    edges = T.tree_edges(d, bom, store.materialise)
+    T.product_tree(d, bom, None, edges, keep)
+    assert "assembly_items" in names
+    balloons = spark.createDataFrame([("b", "i", "1", "", "x", "1"), ("b", "i", "9", "bp3a", "y", "1"), ("b", "i", "", "", "z", "1"), ("b", None, None, None, None, None)],
+                                     "batch_id string, parent_record_id string, item_no string, part_number string, description string, qty string")
+    rows = lambda *keep: sorted(map(str, T.link_overview_items(balloons, d, bom, edges, *keep).collect()))
+    assert rows(keep) == rows() and {"main_rows", "linked_balloons"} <= set(names)
+
+
+def test_edges_of_repeated_and_null_rows(spark):
+    """Children meet the drawings before their parents: repeated parents repeat edges, and unknown ones make none."""
+    d, bom = _batch(spark)
+    more = spark.createDataFrame([("b", 9, "a", "a2.pdf", "BN1B", None, "assembly", None, None, None, None), (None, 0, "n", "n.pdf", "BP2A", "", "ASSEMBLY", "", "", "", "")], DRAWINGS)
+    lines = spark.createDataFrame([("b", "a", 0, 9, None, " bp3a\t", None, None), (None, "n", 0, 1, "1", "BP3A", "", "1"), ("b", None, 0, 1, "1", "BP3A", "", "1"), ("b", "zz", 0, 1, "1", "BP3A", "", "1")], BOM)
+    got = T.derive_edges(d.unionByName(more), bom.unionByName(lines)).where("parent_record_id = 'a'").select("root_pos", "parent_dwg", "pos", "child_pn", "child_dwg", "found").collect()
+    want = [(1, "BP2A", "", True), (2, "BP3A", "D3", True), (3, "SCREW-1", "", False), (9, "bp3a", "D3", True)]
+    assert sorted(map(tuple, got)) == sorted((p, "BN1B" if p == 0 else "", *w) for p in (0, 9) for w in want)
